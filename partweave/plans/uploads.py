@@ -49,7 +49,7 @@ WITH f AS (
 ), js AS (
   SELECT s.id, s.file_id, raw, CASE WHEN json_valid(raw) THEN coalesce(json_type(raw) = 'OBJECT', false) ELSE false END AS ok FROM s JOIN f USING (file_id) WHERE row_format = 'json'
 ), jk AS (
-  SELECT id, file_id, raw, list_sort(json_keys(CASE WHEN ok THEN raw ELSE '{}' END)) AS keys FROM js WHERE ok
+  SELECT id, file_id, raw, list_sort(json_keys(CASE WHEN ok THEN raw ELSE '{{}}' END)) AS keys FROM js WHERE ok
 ), jc AS (
   SELECT file_id, list_sort(list(k)) AS cols
   FROM (SELECT file_id, k, count(*) AS n FROM (SELECT file_id, unnest(keys) AS k FROM jk) GROUP BY ALL)
