@@ -47,7 +47,7 @@ WITH f AS (
          list_transform(regexp_extract_all(d || header_line, q || '(' || fld || ')', 1), lambda x: upper(trim(x, ' "'))) AS names
   FROM s JOIN f USING (file_id) WHERE row_format = 'delimited'
 ), js AS (
-  SELECT s.id, s.file_id, raw, CASE WHEN json_valid(raw) THEN coalesce(json_type(raw) = 'OBJECT', false) ELSE false END AS ok FROM s JOIN f USING (file_id) WHERE row_format = 'json'
+  SELECT s.id, s.file_id, raw, CASE WHEN json_valid(raw) AND NOT regexp_matches(raw, ',\s*}}\s*$') THEN coalesce(json_type(raw) = 'OBJECT', false) ELSE false END AS ok FROM s JOIN f USING (file_id) WHERE row_format = 'json'
 ), jk AS (
   SELECT id, file_id, raw, list_sort(json_keys(CASE WHEN ok THEN raw ELSE '{{}}' END)) AS keys FROM js WHERE ok
 ), jc AS (
