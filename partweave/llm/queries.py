@@ -5,10 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from partweave.llm.components import number_groups
+from partweave.llm.leakage import leaked_items
+from partweave.llm.linkage import link
+from partweave.llm.listings import product_groups, same_products
+from partweave.llm.tokens import encode_documents
 from partweave.llm.topn import METHOD_ORDER, best_candidates
 from partweave.sources.tables import table
 
 
+def _catalogues(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, name) for name in ("store_items", "supplier_items", "line_code_mappings")]
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return link(*_catalogues(spark, folder)).select("store_item_id", "supplier_item_id")
+
+
+def p1_scored(spark: SparkSession, folder: str) -> DataFrame:
+    return link(*_catalogues(spark, folder), threshold=0.0)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_products(*_catalogues(spark, folder))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return product_groups(*_catalogues(spark, folder))
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return number_groups(table(spark, folder, "interchanges"), table(spark, folder, "master_rules"))
 
@@ -17,7 +49,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return best_candidates(table(spark, folder, "match_candidates")).select("match_candidate_id")
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_scored": p1_scored,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+}
 
 _METHODS = "[" + ", ".join(f"'{m}'" for m in METHOD_ORDER) + "]"
 
