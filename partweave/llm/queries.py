@@ -8,6 +8,8 @@ from partweave.llm.components import number_groups
 from partweave.llm.leakage import leaked_items
 from partweave.llm.linkage import link
 from partweave.llm.listings import product_groups, same_products
+from partweave.llm.makers import read_makers
+from partweave.llm.pii import find_pii, redact
 from partweave.llm.tokens import encode_documents
 from partweave.llm.topn import METHOD_ORDER, best_candidates
 from partweave.sources.tables import table
@@ -49,6 +51,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return best_candidates(table(spark, folder, "match_candidates")).select("match_candidate_id")
 
 
+def _pii(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents")
+    makers = read_makers(table(spark, folder, "line_code_mappings"))
+    return documents, find_pii(documents, table(spark, folder, "name_list"), makers)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pii(spark, folder)[1].select("doc_id", "pii_kind", "start_char")
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact(*_pii(spark, folder))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scored": p1_scored,
@@ -58,6 +74,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 _METHODS = "[" + ", ".join(f"'{m}'" for m in METHOD_ORDER) + "]"
