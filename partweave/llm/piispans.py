@@ -94,7 +94,7 @@ ADDRESS_AFTER = re.compile(r"\s*\.?,?\s*(?:apt|ste|suite|unit|#\s?\d|no\.|[A-Z][
 
 _NAME_WORD = r"(?:[A-ZÀ-Þ][a-zà-ÿ]+(?:[A-Z][a-zà-ÿ]+)?|[A-Z]['’][A-ZÀ-Þ]?[a-zà-ÿ]+|[A-ZÀ-Þ]['’]?[A-ZÀ-Þ]{2,})(?:-[A-ZÀ-Þ][A-Za-zà-ÿ]+)?"
 _PIECE = re.compile(rf"(?<![\w@.+'’/-]){_NAME_WORD}(?![\w@]|[-.'’]\w*@)|(?<![\w@.'’-])[A-ZÀ-Þ]\.(?![\w.])|(?<=/){_NAME_WORD}(?!\w)")
-_GAP = re.compile(r"[ \u00a0]{1,2}")
+_GAP = re.compile(r"[ \u00a0]")
 
 
 def _hash(text: str) -> int:
