@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partweave.plans import uploads
+from partweave.plans import identifiers, matchers, uploads
 
-_MODULES = [uploads]
+_MODULES = [matchers, identifiers, uploads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
