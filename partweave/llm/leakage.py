@@ -152,13 +152,23 @@ def has_passage(doc: np.ndarray, item: np.ndarray, least: int = LEAST_WORDS, per
     return False
 
 
+#: Hits that every passage has at least.  Its unedited words (9 in 10, so 18 of the first 20) lie in runs parted by the
+#: edits, and a run of r words has a fingerprint in each of its (r - K + 1) // W separate windows: for 18 words in
+#: three runs that is 2 at the worst (5, 5 and 8 words), and more for longer or less edited passages.
+LEAST_HITS = 2
+
+
 def _windows(starts: list[int], n: int, m: int) -> list[tuple[int, int]]:
-    """Stretches of a document of n words that hold every passage of an item of m words found through a hit: a hit
-    says that the item would begin at word ``start``.  Edits shift it by at most one in ten of the item's words.
-    Overlapping stretches are joined, and long ones cut with an overlap as long as the longest passage."""
+    """Stretches of a document of n words that hold every passage of an item of m words found through hits: a hit
+    says that the item would begin at word ``start``.  Edits shift it by at most one in ten of the item's words, so
+    the hits of one passage say nearly the same; where fewer than LEAST_HITS do, there is none.  Overlapping
+    stretches are joined, and long ones cut with an overlap as long as the longest passage."""
     slack = m // WORDS_PER_EDIT + 2
     out: list[list[int]] = []
-    for s in sorted(set(starts)):
+    ordered = sorted(starts)
+    for i, s in enumerate(ordered):
+        if not any(0 <= j < len(ordered) and abs(ordered[j] - s) <= slack for j in (i - 1, i + 1)):
+            continue
         a, b = max(0, s - slack), min(n, s + m + slack)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
@@ -187,7 +197,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     side = F.broadcast(item_prints) if small else item_prints
     hits = fingerprint_rows(documents, id_col, text_col).join(side, "print")
     pairs = ws.save(
-        hits.groupBy(id_col, "item_id").agg(F.collect_set(F.col("place") - F.col("at")).alias("starts")), "pairs"
+        hits.groupBy(id_col, "item_id").agg(F.collect_list(F.col("place") - F.col("at")).alias("starts")).filter(F.size("starts") >= LEAST_HITS), "pairs"
     )
     kind = dict(documents.dtypes)[id_col]
     texts = documents.select(id_col, F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
