@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partweave.plans import identifiers, matchers, uploads
+from partweave.plans import identifiers, matchers, reports, uploads
 
-_MODULES = [matchers, identifiers, uploads]
+_MODULES = [matchers, identifiers, reports, uploads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

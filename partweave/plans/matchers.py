@@ -146,7 +146,7 @@ QUERIES = {
 _KEY_S, _KEY_U = sql_join_key("store_number"), sql_join_key("supplier_number")
 _TRGM = sql_jaccard(sql_trigrams("store_text"), sql_trigrams("supplier_text"))
 _PAIRS = f"WITH RECURSIVE {SQL_ROWS}, p AS (SELECT *, {_TRGM} AS text_similarity FROM s JOIN u USING (project_id) WHERE {_KEY_S} = {_KEY_U} AND {_KEY_S} <> '')"
-_BEST = f"""{_PAIRS}, b AS (SELECT * FROM p WHERE text_similarity >= 0.05 QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY text_similarity DESC, supplier_id) = 1)"""
+EXACT_BEST = f"""{_PAIRS}, b AS (SELECT * FROM p WHERE text_similarity >= 0.05 QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY text_similarity DESC, supplier_id) = 1)"""
 _COMPLEX = "regexp_matches(store_number, '[0-9]') AND regexp_matches(store_number, '[A-Za-z]') AND length(regexp_replace(store_number, '[^a-zA-Z0-9]', '', 'g')) > 5"
 _EDGES = f"""k AS (SELECT DISTINCT project_id, id AS edge_id, vendor, line_code AS edge_line, unnest(['MERRILL', 'VENDOR']) AS side,
   unnest([{sql_join_key('merrill_part_number')}, {sql_join_key('vendor_part_number')}]) AS norm, unnest([{sql_join_key('vendor_part_number')}, {sql_join_key('merrill_part_number')}]) AS other FROM interchanges),
@@ -171,10 +171,10 @@ _WORDS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({c})
 _ATTR = "(CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 0.5 WHEN lower({a}) = lower({b}) THEN 1 ELSE 0 END)"
 
 SQL = {
-    "exact_best": f"""{_BEST} SELECT project_id, store_id, supplier_id, text_similarity, (CASE WHEN store_number = supplier_number AND text_similarity >= 0.9 THEN 0.99 WHEN text_similarity >= 0.9 THEN 0.98
+    "exact_best": f"""{EXACT_BEST} SELECT project_id, store_id, supplier_id, text_similarity, (CASE WHEN store_number = supplier_number AND text_similarity >= 0.9 THEN 0.99 WHEN text_similarity >= 0.9 THEN 0.98
   WHEN text_similarity >= 0.75 THEN 0.95 WHEN text_similarity >= 0.6 THEN 0.92 WHEN text_similarity >= 0.5 THEN 0.87 WHEN text_similarity >= 0.4 THEN 0.83 WHEN text_similarity >= 0.3 THEN 0.80
   WHEN text_similarity >= 0.2 THEN 0.75 ELSE 0.70 END)::double AS confidence FROM b""",
-    "exact_stats": f"""{_BEST} SELECT count(*) AS matches, round(avg(text_similarity), 6) AS average, count(*) FILTER (text_similarity >= 0.9) AS excellent, count(*) FILTER (text_similarity >= 0.75 AND text_similarity < 0.9) AS very_good,
+    "exact_stats": f"""{EXACT_BEST} SELECT count(*) AS matches, round(avg(text_similarity), 6) AS average, count(*) FILTER (text_similarity >= 0.9) AS excellent, count(*) FILTER (text_similarity >= 0.75 AND text_similarity < 0.9) AS very_good,
   count(*) FILTER (text_similarity >= 0.6 AND text_similarity < 0.75) AS good, count(*) FILTER (text_similarity >= 0.5 AND text_similarity < 0.6) AS fair, count(*) FILTER (text_similarity < 0.5) AS poor FROM b""",
     "exact_by_line": f"""{_PAIRS} SELECT project_id, store_id, supplier_id, (CASE WHEN store_number = supplier_number AND store_line IS NOT DISTINCT FROM supplier_line THEN 1.0
   WHEN {sql_join_key('store_line')} = {sql_join_key('supplier_line')} THEN 0.98 WHEN {_COMPLEX} THEN 0.95 ELSE 0.92 END)::double AS confidence
