@@ -51,7 +51,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col:
         pairs = v.crossJoin(F.broadcast(q))
     else:
         q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+        v = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
         pairs = v.join(q, "block")
     scored = pairs.select("query_id", "target_id", cosine(F.col("q"), F.col("v")).alias("similarity")).filter(F.col("similarity") >= least)
     best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("target_id"))
