@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 from partweave.functions.similarity import cosine, trigrams
 
 
+def _codes(text: Column) -> Column:
+    """The trigrams of a text as numbers, one to one: they hold a-z, 0-9 and blanks only."""
+    code = lambda g, i: F.ascii(F.substring(g, i, 1))
+    return F.transform(trigrams(text), lambda g: code(g, 1) * 65536 + code(g, 2) * 256 + code(g, 3))
+
+
 def trigram_join(left: DataFrame, right: DataFrame, scope: str, id_left: str, id_right: str, text_left: Column, text_right: Column, least: float) -> DataFrame:
     """(scope, id_left, id_right, similarity): pairs of one scope whose texts have a trigram similarity of ``least``
     or more (``least`` > 0).
@@ -16,8 +22,8 @@ def trigram_join(left: DataFrame, right: DataFrame, scope: str, id_left: str, id
     Prefix filter: with each text's trigrams in a fixed order, rarest first, two texts that are similar enough share
     one among the first n - ceil(least * n) + 1 of each.  Only those are joined, pairs of too different sizes are
     dropped, and the rest is verified on the whole sets; no pair is lost."""
-    a = left.select(F.col(scope).alias("scope"), F.col(id_left).alias("a"), trigrams(text_left).alias("x")).filter(F.size("x") > 0)
-    b = right.select(F.col(scope).alias("scope"), F.col(id_right).alias("b"), trigrams(text_right).alias("y")).filter(F.size("y") > 0)
+    a = left.select(F.col(scope).alias("scope"), F.col(id_left).alias("a"), _codes(text_left).alias("x")).filter(F.size("x") > 0)
+    b = right.select(F.col(scope).alias("scope"), F.col(id_right).alias("b"), _codes(text_right).alias("y")).filter(F.size("y") > 0)
     counts = (
         a.select("scope", F.explode("x").alias("g")).unionAll(b.select("scope", F.explode("y").alias("g"))).groupBy("scope", "g").agg(F.count("*").alias("n"))
     )

@@ -33,6 +33,9 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
 
 
 def hot_keys(counted: DataFrame, count_col: str, total: int, key: str) -> DataFrame | None:
-    """The hot keys of a table with one row and one count a key; None if there is none."""
+    """The hot keys of a table with one row and one count a key; None if there is none, which takes no job where the
+    total itself is too small."""
+    if total <= hot_threshold(total):
+        return None
     hot = counted.filter(F.col(count_col) > hot_threshold(total)).select(key)
     return None if hot.isEmpty() else hot

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "partweave", **conf: str) -> SparkSession:
@@ -48,6 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for a costly step that reads it row by row.
+
+    ``df`` must be a scan with projections and filters, whose partitions are known without running it.  Only a table that comes in fewer pieces is shuffled: it then fits in a few splits, so little is moved; a large
+    table is left where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Workspace:
     """Staged tables of one run of one operator, removed one by one or when the application ends."""
 
@@ -65,9 +77,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def count(self, df: DataFrame) -> int:
-        """Rows of a staged table; only the files' footers are read."""
-        return df.count()
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """As save, with the number of rows, counted while they are written."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        saved = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return saved, seen.get["n"]
 
     def drop(self, name: str) -> None:
         """Remove a staged table that nothing reads any more."""

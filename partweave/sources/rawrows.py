@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.operators.skew import hot_keys, join_unique
+from partweave.session import spread
 
 
 @lru_cache(maxsize=64)
@@ -120,7 +121,7 @@ def strict_rows(items: DataFrame, files: DataFrame) -> DataFrame:
     (trimmed, upper case) if a delimited row has as many fields.  ``header`` is null for JSON.  A row whose file is
     unknown is read as JSON if it begins with a brace, else as comma-separated without a header.
     """
-    offsets = raw_offsets(items)
+    offsets = spread(raw_offsets(items))
     about = files.select(F.col("id").alias("file_id"), "row_format", "field_delimiter", "header_line").dropDuplicates(["file_id"])
     per_file = items.filter("raw_data is not null and file_id is not null").groupBy("file_id").agg(F.count("*").alias("n"))
     hot = hot_keys(per_file, "n", items.count(), "file_id")
