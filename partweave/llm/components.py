@@ -17,6 +17,10 @@ from partweave.operators.skew import hot_keys, join_unique
 from partweave.session import Workspace
 
 
+#: Rounds whose hooks are expanded in one job.
+EXPANDED_AT_ONCE = 4
+
+
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -34,6 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str, seed: int = 0) -> Dat
     current = current.filter("a <> b")
     total = current.count()
     hooks: list[DataFrame] = []
+    sizes: list[int] = []
     while total:
         r = len(hooks)
         order = lambda v: F.struct(F.xxhash64(v, F.lit(seed + 7919 * (r + 1))).alias("h"), v.alias("v"))
@@ -45,17 +50,18 @@ def connected_components(edges: DataFrame, a: str, b: str, seed: int = 0) -> Dat
             .agg(F.min(order(F.col("w"))).alias("m"), F.count("*").alias("degree"))
             .select("v", F.least("m", order(F.col("v")))["v"].alias("rep"), "degree")
         )
-        hook = ws.save(hook, f"hooks{r}")
+        hook, vertices = ws.save_counted(hook, f"hooks{r}")
         hooks.append(hook.select("v", "rep"))
+        sizes.append(vertices)
         hot = hot_keys(hook, "degree", total, "v")
         left = join_unique(
             current.withColumnRenamed("a", "v"), hook.select("v", "rep"), "v", hot, "inner"
         ).select(F.col("rep").alias("ra"), F.col("b").alias("v"))
         both_ends = join_unique(left, hook.select("v", "rep"), "v", hot, "inner").select("ra", F.col("rep").alias("rb"))
-        following = ws.save(both_ends.filter("ra <> rb").select(*_pairs(F.col("ra"), F.col("rb"))).distinct(), f"edges{r + 1}")
+        following = both_ends.filter("ra <> rb").select(*_pairs(F.col("ra"), F.col("rb"))).distinct()
+        current, total = ws.save_counted(following, f"edges{r + 1}")
         if r:
             ws.drop(f"edges{r}")
-        current, total = following, following.count()
     if not hooks:
         return loops.select("node", F.col("node").alias("component"))
     roots = hooks[-1].select(F.col("v").alias("node"), F.col("rep").alias("root"))
@@ -63,14 +69,15 @@ def connected_components(edges: DataFrame, a: str, b: str, seed: int = 0) -> Dat
         here = hooks[r]
         shares = here.groupBy("rep").agg(F.count("*").alias("n"))
         later = roots.select(F.col("node").alias("rep"), "root")
-        hot = hot_keys(shares, "n", here.count(), "rep")
+        hot = hot_keys(shares, "n", sizes[r], "rep")
         roots = join_unique(here, later, "rep", hot, "left").select(
             F.col("v").alias("node"), F.coalesce("root", "rep").alias("root")
         )
-        roots = ws.save(roots, f"roots{r}")
-    sizes = ws.save(roots.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")), "labels")
-    hot = hot_keys(sizes, "n", hooks[0].count(), "root")
-    grouped = join_unique(roots, sizes.select("root", "component"), "root", hot, "inner").select("node", "component")
+        if r % EXPANDED_AT_ONCE == 0:
+            roots = ws.save(roots, f"roots{r}")
+    labels = ws.save(roots.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")), "labels")
+    hot = hot_keys(labels, "n", sizes[0], "root")
+    grouped = join_unique(roots, labels.select("root", "component"), "root", hot, "inner").select("node", "component")
     alone = loops.join(grouped.select("node"), "node", "left_anti")
     return grouped.unionByName(alone.select("node", F.col("node").alias("component")))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.session import Workspace
+from partweave.session import Workspace, spread
 
 K, W = 5, 2
 #: A passage: at least so many consecutive words of the item, and one edit for so many of its words.
@@ -98,7 +98,7 @@ def fingerprint_rows(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=[id_col, "place", "print"],
                 )
 
-    return texts.select(id_col, text_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, f"`{id_col}` {kind}, place int, print bigint")
+    return spread(texts.select(id_col, text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, f"`{id_col}` {kind}, place int, print bigint")
 
 
 def without_instructions(items: DataFrame, ws: Workspace) -> DataFrame:
@@ -218,4 +218,5 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
             chosen = pa.array(kept, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], names=[id_col, "item_id"])
 
-    return full.mapInArrow(extend, f"`{id_col}` {kind}, item_id string").distinct()
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(parts, id_col, "item_id").mapInArrow(extend, f"`{id_col}` {kind}, item_id string").distinct()

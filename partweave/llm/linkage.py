@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from partweave.llm.makers import Makers, read_makers
 from partweave.llm.partspec import KINDS, POSITIONS, Reader, clean
-from partweave.session import Workspace
+from partweave.session import Workspace, spread
 
 #: Characters that look alike in keyed numbers.
 ALIKE = str.maketrans("OISB", "0158")
@@ -114,7 +114,7 @@ def read_rows(rows: DataFrame, makers: Makers, supplier: bool) -> DataFrame:
             )
 
     told = rows.select("id", "project_id", "part_number", "line_code", "description").filter("id is not null and project_id is not null")
-    return told.mapInArrow(run, _PARSED)
+    return spread(told).mapInArrow(run, _PARSED)
 
 
 #: Levels: 0 silent, 1 agreement, 2 contradiction; for the number 1 equal, 2 said to be replaced, 3 same characters, 4 other.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from partweave.llm.makers import Makers
 from partweave.llm.piispans import DIMENSIONS, KINDS, Labelers
-from partweave.session import Workspace
+from partweave.session import Workspace, spread
 
 #: Candidates of each kind on which the classifier is fitted: those first in a hash order of their places.
 TRAIN_ROWS = 40_000
@@ -51,7 +51,7 @@ def find_candidates(documents: DataFrame, id_col: str, text_col: str, given: lis
                     out.append([{"kind": c.kind, "start": c.start, "stop": c.end, "votes": c.votes, "features": c.features} for c in own])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(out, shape)], names=[id_col, "candidates"])
 
-    return documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, f"`{id_col}` {kind}, candidates {_CANDIDATES}")
+    return spread(documents.select(id_col, text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, f"`{id_col}` {kind}, candidates {_CANDIDATES}")
 
 
 def label_model(counts: dict[str, int], rounds: int = 80) -> dict[str, float]:

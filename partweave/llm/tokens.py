@@ -20,6 +20,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from partweave.session import spread
+
 #: Where the vocabulary files are; a parameter of encode_documents.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that splits a text before the merges.
@@ -181,4 +183,4 @@ def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
 
     kind = dict(documents.dtypes)[id_col]
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
