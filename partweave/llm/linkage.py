@@ -49,8 +49,10 @@ def number_key(number: str | None, code: str | None, makers: Makers) -> str | No
         key = key[len(own) :]
     elif (head in makers.store or head in makers.supplier) and len(key) >= 9:
         key = key[3:]
+    if not any(map(str.isdigit, key)):
+        return None
     key = key.translate(ALIKE).lstrip("0")
-    return key if len(key) >= 4 and any(map(str.isdigit, key)) else None
+    return key if len(key) >= 4 else None
 
 
 _KIND_CODES = {k: i for i, k in enumerate(KINDS)}

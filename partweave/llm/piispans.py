@@ -84,7 +84,7 @@ THING_AFTER = re.compile(r"\s*(?:owners?\b|display|cartons?|is\s+out|list\b|bran
 THING_BEFORE = re.compile(r"(?:\bfor|\bthe|\bfrom|\bon|\bto|\bgehört\s+jetzt\s+zu|\bde|\bvon|\bzum|\bel|\bau|\bbolts,|\bask|\bwith\s+a|\bfits|\bbrand:?|\d:?)\s*$", re.I)
 PHONE_BEFORE = re.compile(r"\b(?:phone|ph|tel|tél|telephone|teléfono|telefon|fax|call|cell|mobile|móvil|handy|reach|or|at|old|number)\b[.:]?\s*[(]?\s*$", re.I)
 PART_BEFORE = re.compile(r"(?:p/n|pn|part|no\.|nr\.?|n\.º|lot|ref|sku|order|invoice|code|código|batch|bin|bay|bulletin|vs|con|mezclar|by|par|teil|pièce|reads|says|think|check|against|as|and|\$|€|#)\s*[:#]?\s*$", re.I)
-PART_AFTER = re.compile(r"[  ]*(?:is\s+(?:the|a|out|on)\b|of\s+the|vs\b|when\b|against|but\b|are\b|as\s+of|con\b|mm\b|von\b|de\b|and\s+\w*\d)", re.I)
+PART_AFTER = re.compile(r"[  ]*(?:is\s+(?:the|a|out|on)\b|of\s+the|vs\b|when\s+the\b|against|but\b|are\b|as\s+of|con\b|mm\b|von\b|de\b|and\s+\w*\d)", re.I)
 ID_BEFORE = re.compile(
     r"(?:ssn|social(?:\s+security)?(?:\s+(?:number|no\.?))?|passport|reisepass|pasaporte|passeport|licen[cs]e|dl|national\s+id|id\s+card|identity\s+(?:card|no\.?)|ausweis|dni|nie|personalausweis)\s*(?:no\.?|number|nr\.?|n\.º|#)?\s*[:#]?\s*$",
     re.I,
@@ -152,7 +152,7 @@ class Labelers:
             + ("-" if PART_AFTER.match(after) else "0")
             + ("-" if SSN.fullmatch(s) or ID_BEFORE.search(before) else "0")
             + ("-" if not 9 <= digits <= 13 else "0")
-            + ("-" if re.fullmatch(r"\d{1,4}([.\s-])\d{2,4}\1?\d{0,4}", s) or re.fullmatch(r"\d{3,5}[\s-]\d{2,8}(?:[\s-]\d{2,8})?", s) and not NANP.fullmatch(s) else "0")
+            + ("-" if re.fullmatch(r"\d{1,5}[.\s-]\d{2,8}(?:[.\s-]\d{1,8})?", s) and not NANP.fullmatch(s) and not OTHER_PHONE.fullmatch(s) else "0")
         )
 
     def _id(self, t: str, a: int, b: int) -> str:
