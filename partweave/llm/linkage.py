@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,48 +60,32 @@ _POSITION_CODES = {p: i for i, p in enumerate(POSITIONS)}
 
 #: Attributes that are compared, besides the number.
 ATTRIBUTES = ["maker", "kind", "build", "position", "first", "second"]
-_PARSED = (
-    "id string, project_id string, number string, refs array<string>, blocks array<bigint>, "
-    "maker int, kind int, build int, position int, first int, second int"
-)
-
-
-def _block(*parts: object) -> int:
-    """A 64-bit key of a block; blocks that share one by chance only add pairs to be compared."""
-    return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
+_PARSED = "id string, project_id string, code string, number string, refs array<string>, " + ", ".join(f"{a} int" for a in ATTRIBUTES)
+#: A line code that no mapping has is a maker's if at least so many rows name their maker, in so large a share the same.
+LEARNED_ROWS, LEARNED_SHARE = 3, 0.9
 
 
 def read_rows(rows: DataFrame, makers: Makers, supplier: bool) -> DataFrame:
-    """_PARSED of rows with id, project_id, part_number, line_code and description; attributes as small codes.
-    A row without id or project can be in no pair and is left out."""
+    """_PARSED of rows with id, project_id, part_number, line_code and description (and, if there, brand or
+    manufacturer_name); attributes as small codes.  The maker is the one the description names, else the line code's by
+    the mappings, else the brand.  A row without id or project can be in no pair and is left out."""
     codes = makers.supplier if supplier else makers.store
     maker_codes = {m: i for i, m in enumerate(makers.names)}
+    brands = [F.nullif(F.lower(F.trim(c)), F.lit("")) for c in ("brand", "manufacturer_name") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(makers.names)
         for batch in batches:
-            numbers, refs, blocks = [], [], []
+            lines, numbers, refs = [], [], []
             coded: list[list[int | None]] = [[] for _ in ATTRIBUTES]
-            for project, number, code, text in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
+            for number, code, text, brand in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5))):
                 spec = reader.read(text)
+                code = (code or "").strip().upper() or None
                 key = number_key(number, code, makers)
-                maker = spec.maker or codes.get((code or "").strip().upper())
-                own = []
-                if key:
-                    own.append(_block(project, "n", key))
-                    if maker and spec.kind:
-                        own.append(_block(project, "c", "".join(sorted(key)), maker, spec.kind))
-                said = []
-                for r in spec.replaces:
-                    r = r.translate(ALIKE).lstrip("0")
-                    if r and r != key:
-                        said.append(r)
-                        own.append(_block(project, "n", r))
-                if maker and spec.kind and spec.first is not None and spec.second is not None:
-                    own.append(_block(project, "s", maker, spec.kind, spec.first, spec.second))
+                maker = spec.maker or codes.get(code) or brand
+                lines.append(code)
                 numbers.append(key)
-                refs.append(said)
-                blocks.append(own)
+                refs.append([r for x in spec.replaces if (r := x.translate(ALIKE).lstrip("0")) and r != key])
                 coded[0].append(maker_codes.get(maker))
                 coded[1].append(_KIND_CODES.get(spec.kind))
                 coded[2].append(_BUILD_CODES.get((spec.kind, spec.build)))
@@ -110,13 +93,37 @@ def read_rows(rows: DataFrame, makers: Makers, supplier: bool) -> DataFrame:
                 coded[4].append(spec.first)
                 coded[5].append(spec.second)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(numbers, pa.string()), pa.array(refs, pa.list_(pa.string())), pa.array(blocks, pa.list_(pa.int64()))]
+                [batch.column(0), batch.column(1), pa.array(lines, pa.string()), pa.array(numbers, pa.string()), pa.array(refs, pa.list_(pa.string()))]
                 + [pa.array(c, pa.int32()) for c in coded],
-                names=["id", "project_id", "number", "refs", "blocks", *ATTRIBUTES],
+                names=["id", "project_id", "code", "number", "refs", *ATTRIBUTES],
             )
 
-    told = rows.select("id", "project_id", "part_number", "line_code", "description").filter("id is not null and project_id is not null")
-    return spread(told).mapInArrow(run, _PARSED)
+    told = rows.select("id", "project_id", "part_number", "line_code", "description", (F.coalesce(*brands) if brands else F.lit(None).cast("string")).alias("said"))
+    return spread(told.filter("id is not null and project_id is not null")).mapInArrow(run, _PARSED)
+
+
+def with_learned_makers(rows: DataFrame) -> DataFrame:
+    """Rows without a maker take the one that the other rows of their line code name, if they name one nearly alone."""
+    counts = rows.filter("code is not null and maker is not null").groupBy("code", "maker").agg(F.count("*").alias("n"))
+    codes = counts.groupBy("code").agg(F.max(F.struct("n", "maker")).alias("top"), F.sum("n").alias("total"))
+    learned = codes.filter((F.col("top.n") >= LEARNED_ROWS) & (F.col("top.n") >= LEARNED_SHARE * F.col("total"))).select("code", F.col("top.maker").alias("learned"))
+    lacking = F.col("maker").isNull() & F.col("code").isNotNull()
+    filled = rows.filter(lacking).join(learned, "code", "left").withColumn("maker", F.col("learned")).select(*rows.columns)
+    return rows.filter(~lacking).unionByName(filled)
+
+
+def with_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``blocks``: 64-bit keys of the blocking passes.  Blocks that share a key by chance only add pairs
+    to be compared."""
+    key = lambda *parts: F.xxhash64("project_id", *parts)
+    known = F.col("maker").isNotNull() & F.col("kind").isNotNull()
+    letters = F.array_join(F.array_sort(F.split("number", "")), "")
+    own = F.array(
+        F.when(F.col("number").isNotNull(), key(F.lit("n"), F.col("number"))),
+        F.when(F.col("number").isNotNull() & known, key(F.lit("c"), letters, F.col("maker"), F.col("kind"))),
+        F.when(known & F.col("first").isNotNull() & F.col("second").isNotNull(), key(F.lit("s"), *[F.col(x) for x in ("maker", "kind", "first", "second")])),
+    )
+    return rows.withColumn("blocks", F.array_compact(F.concat(own, F.transform("refs", lambda r: key(F.lit("n"), r)))))
 
 
 #: Levels: 0 silent, 1 agreement, 2 contradiction; for the number 1 equal, 2 said to be replaced, 3 same characters, 4 other.
@@ -190,9 +197,9 @@ def link(stores: DataFrame, suppliers: DataFrame, mappings: DataFrame, threshold
     Only the counts of the patterns come to the driver: at most 5 * 3^6 of them, whatever the data."""
     ws = Workspace(stores.sparkSession, "linkage")
     makers = read_makers(mappings)
-    a = ws.save(read_rows(stores, makers, supplier=False), "store").dropDuplicates(["id"])
-    b = ws.save(read_rows(suppliers, makers, supplier=True), "supplier").dropDuplicates(["id"])
-    pairs = ws.save(candidate_pairs(a, b), "pairs")
+    a = with_learned_makers(ws.save(read_rows(stores, makers, supplier=False), "store").dropDuplicates(["id"]))
+    b = with_learned_makers(ws.save(read_rows(suppliers, makers, supplier=True), "supplier").dropDuplicates(["id"]))
+    pairs = ws.save(candidate_pairs(with_blocks(a), with_blocks(b)), "pairs")
     counts = {r["pattern"]: r["n"] for r in pairs.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posteriors = fit(counts)
     table = pairs.sparkSession.createDataFrame([(p, float(c)) for p, c in posteriors.items()], "pattern string, confidence double")
@@ -200,7 +207,8 @@ def link(stores: DataFrame, suppliers: DataFrame, mappings: DataFrame, threshold
     scored = scored.filter(~F.substring("pattern", 2, len(ATTRIBUTES)).contains("2"))
     agree = lambda x: F.substring("pattern", 2 + ATTRIBUTES.index(x), 1) == "1"
     by_number = F.substring("pattern", 1, 1).isin("1", "2")
-    exact_spec = agree("kind") & agree("build") & agree("first") & agree("second")
+    placed = agree("position") | ~F.col("kind").isin([_KIND_CODES[k] for k, spec in KINDS.items() if spec.positioned])
+    exact_spec = agree("kind") & agree("build") & placed & agree("first") & agree("second")
     sure = agree("maker") & (by_number | exact_spec)
     bearers = a.select("project_id", "number", "maker", "kind").unionByName(b.select("project_id", "number", "maker", "kind")).filter("number is not null")
     shared = (
