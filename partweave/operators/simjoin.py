@@ -21,7 +21,8 @@ def trigram_join(left: DataFrame, right: DataFrame, scope: str, id_left: str, id
 
     Prefix filter: with each text's trigrams in a fixed order, rarest first, two texts that are similar enough share
     one among the first n - ceil(least * n) + 1 of each.  Only those are joined, pairs of too different sizes are
-    dropped, and the rest is verified on the whole sets; no pair is lost."""
+    dropped, and the rest is verified on the whole sets; no pair is lost.  A pair counts only where it meets in the
+    first trigram it shares, so it comes once without another shuffle."""
     a = left.select(F.col(scope).alias("scope"), F.col(id_left).alias("a"), _codes(text_left).alias("x")).filter(F.size("x") > 0)
     b = right.select(F.col(scope).alias("scope"), F.col(id_right).alias("b"), _codes(text_right).alias("y")).filter(F.size("y") > 0)
     counts = (
@@ -37,9 +38,11 @@ def trigram_join(left: DataFrame, right: DataFrame, scope: str, id_left: str, id
 
     met = prefixes(a, "a", "x").join(prefixes(b, "b", "y"), ["scope", "g"])
     sizes = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
-    pairs = met.filter(sizes).dropDuplicates(["scope", "a", "b"])
-    shared = F.size(F.array_intersect("x", "y"))
-    scored = pairs.select(F.col("scope").alias(scope), F.col("a").alias(id_left), F.col("b").alias(id_right), (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
+    shared = met.filter(sizes).withColumn("z", F.array_intersect("x", "y"))
+    first_meeting = shared.filter(F.get("z", F.lit(0)) == F.col("g"))
+    n = F.size("z")
+    similarity = (n / (F.size("x") + F.size("y") - n)).alias("similarity")
+    scored = first_meeting.select(F.col("scope").alias(scope), F.col("a").alias(id_left), F.col("b").alias(id_right), similarity)
     return scored.filter(F.col("similarity") >= least)
 
 
