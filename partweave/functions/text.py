@@ -140,3 +140,20 @@ def string_hash32(c: Column) -> Column:
     codes = F.transform(F.split(c, ""), lambda ch: F.ascii(ch).cast("bigint"))
     wrap = lambda v: F.pmod(v + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
     return F.abs(F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, x: wrap(acc * 31 + x)))
+
+
+def wildcard_match(pattern: Column, value: Column) -> Column:
+    """Whether a value matches a pattern in which a star at an end stands for any text: X, X*, *X, *X*, and * alone,
+    which matches a missing value too; case and outer spaces do not matter."""
+    p, v = F.upper(F.trim(pattern)), F.upper(F.trim(value))
+    head, tail = p.startswith("*"), p.endswith("*")
+    core = F.regexp_replace(p, r"^\*|\*$", "")
+    met = F.when(head & tail, F.contains(v, core)).when(head, v.endswith(core)).when(tail, v.startswith(core)).otherwise(v == p)
+    return F.when(p == "*", True).otherwise(F.coalesce(met, F.lit(False)))
+
+
+def digit_core(c: Column, least: int = 6) -> Column:
+    """The longest run of digits of a number, the first of equals, if it has at least ``least``."""
+    runs = F.filter(F.split(c, "[^0-9]+"), lambda r: F.length(r) >= least)
+    longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
+    return F.get(F.filter(runs, lambda r: F.length(r) == longest), F.lit(0))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partweave.plans import identifiers, matchers, reports, streams, uploads
+from partweave.plans import extras, identifiers, matchers, reports, streams, uploads
 
-_MODULES = [matchers, identifiers, reports, streams, uploads]
+_MODULES = [matchers, identifiers, reports, extras, streams, uploads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -86,3 +86,9 @@ def test_windowed_match_bounds(a, b):
     assert 0 <= sim.windowed_match(a, b) <= 1
     if len(a) > 1:  # the window of a single character is empty
         assert sim.windowed_match(a, a) == 1
+
+
+def test_wildcards_and_cores(spark):
+    values = [("*", None), ("*AB*", "xabx"), ("AB*", "abx"), ("*AB", "xab"), ("AB", " ab "), ("AB*", "xab"), ("AB", None)]
+    assert pairs(spark, values, t.wildcard_match) == [True, True, True, True, True, False, False]
+    assert column(spark, ["AB123456C7890123", "12345", None], t.digit_core) == ["7890123", None, None]
