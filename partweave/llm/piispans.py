@@ -27,10 +27,12 @@ class Candidate(NamedTuple):
 
 # ---------------------------------------------------------------- fixed values
 
-_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)"
 _DOT = r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)"
 EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-][\w.+%-]*@\w[\w-]*(?:\.\w[\w-]*)+")
-EMAIL_SPELLED = re.compile(rf"(?<![\w.+%-])[\w+%-][\w.+%-]*{_AT}\w[\w-]*(?:{_DOT}\w[\w-]*)+", re.I)
+#: Written out for people: "at" in brackets, or "at" and "dot" as words.
+EMAIL_SPELLED = re.compile(
+    rf"(?<![\w.+%-])[\w+%-][\w.+%-]*(?:\s*[\[({{<]\s*at\s*[\])}}>]\s*\w[\w-]*(?:{_DOT}\w[\w-]*)+|\s+at\s+\w[\w-]*(?:\s+dot\s+\w[\w-]*)+)", re.I
+)
 PHONE = re.compile(
     r"(?<![\w.,$€/-])(?:(?:\+[  ]?\d{1,3}[  .-]?)?(?:\(\d{2,4}\)[  ./-]{0,2}|\d{1,4}[  ./-]{1,2})\d{2,8}(?:[  ./-]{1,2}\d{2,8}){0,4}|\+\d{8,13}|1?\d{10})"
     r"(?:[  ]?(?:x|ext\.?)[  ]?\d{1,5})?(?![\w$€]|[-./]\d)"
@@ -248,9 +250,8 @@ class Labelers:
                 add(0, *m.span(), self._email(t, *m.span(), False), [], line_of(m.start()))
         if re.search(r"\bat\b", t, re.I):
             for m in EMAIL_SPELLED.finditer(t):
-                if "@" not in m[0] and re.search(r"[\[({<]\s*at\s*[\])}>]|\bdot\b", m[0], re.I):
-                    contacts.append(m.span())
-                    add(0, *m.span(), self._email(t, *m.span(), True), [], line_of(m.start()))
+                contacts.append(m.span())
+                add(0, *m.span(), self._email(t, *m.span(), True), [], line_of(m.start()))
         for m in PHONE.finditer(t):
             if 7 <= sum(map(str.isdigit, m[0])) <= 15:
                 votes = self._phone(t, *m.span())

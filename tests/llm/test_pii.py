@@ -27,6 +27,8 @@ def likely(labelers, text):
     [
         ("Mail: orla_y@mail.saltmarsh.test.", ("email", "orla_y@mail.saltmarsh.test")),
         ("use returns [at] quarry-auto [dot] example now", ("email", "returns [at] quarry-auto [dot] example")),
+        ("Reach me at owen.p [at] mail [dot] saltmarsh [dot] test or", ("email", "owen.p [at] mail [dot] saltmarsh [dot] test")),
+        ("write to jo at tarnvale dot example please", ("email", "jo at tarnvale dot example")),
         ("call (350) 555-0124 x17.", ("phone", "(350) 555-0124 x17")),
         ("fax 2745550180 today", ("phone", "2745550180")),
         ("tél. +33 1 99 00 16 39.", ("phone", "+33 1 99 00 16 39")),
