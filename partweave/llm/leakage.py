@@ -133,6 +133,10 @@ def has_passage(doc: np.ndarray, item: np.ndarray, least: int = LEAST_WORDS, per
     n, m = len(doc), len(item)
     if m < least or n == 0:
         return False
+    # necessary: a stretch of the item's words of which at most one in per_edit stands nowhere in the document
+    total = np.concatenate([[0], np.cumsum(np.where(np.isin(item, doc), 1, 1 - per_edit))])
+    if (total[least:] - np.minimum.accumulate(total)[: m - least + 1]).max() < 0:
+        return False
     low = -(10**6)
     best = np.full((n + 1, least + 1), low, dtype=np.int32)
     best[:, 0] = 0
