@@ -197,8 +197,8 @@ def link(stores: DataFrame, suppliers: DataFrame, mappings: DataFrame, threshold
     Only the counts of the patterns come to the driver: at most 5 * 3^6 of them, whatever the data."""
     ws = Workspace(stores.sparkSession, "linkage")
     makers = read_makers(mappings)
-    a = with_learned_makers(ws.save(read_rows(stores, makers, supplier=False), "store").dropDuplicates(["id"]))
-    b = with_learned_makers(ws.save(read_rows(suppliers, makers, supplier=True), "supplier").dropDuplicates(["id"]))
+    a = ws.save(with_learned_makers(ws.save(read_rows(stores, makers, supplier=False), "store").dropDuplicates(["id"])), "store_known")
+    b = ws.save(with_learned_makers(ws.save(read_rows(suppliers, makers, supplier=True), "supplier").dropDuplicates(["id"])), "supplier_known")
     pairs = ws.save(candidate_pairs(with_blocks(a), with_blocks(b)), "pairs")
     counts = {r["pattern"]: r["n"] for r in pairs.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posteriors = fit(counts)
