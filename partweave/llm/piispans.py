@@ -99,6 +99,16 @@ _PIECE = re.compile(rf"(?<![\w@.+'’/-]){_NAME_WORD}(?![\w@]|[-.'’]\w*@)|(?<!
 _GAP = re.compile(r"[ \u00a0]")
 
 
+#: Patterns of addresses, and letters without which a text (in lower case) holds none.
+_ADDRESSES = [
+    ("en", ADDRESS_EN, ()),
+    ("de", ADDRESS_DE, ("gasse", "straße", "strasse", "str.", "weg", "platz", "allee", "ring", "damm", "ufer", "steig", "graben", "chaussee")),
+    ("fr", ADDRESS_FR, ("rue", "avenue", "boulevard", "impasse", "allée", "place", "chemin", "route", "quai", "cours", "square")),
+    ("es", ADDRESS_ES, ("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "ronda", "travesía", "carretera")),
+]
+_BRACKETED_AT = [b + gap + "at" for b in "[({<" for gap in ("", " ", "  ")]
+
+
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) & (DIMENSIONS - 1)
 
@@ -248,7 +258,8 @@ class Labelers:
             for m in EMAIL.finditer(t):
                 contacts.append(m.span())
                 add(0, *m.span(), self._email(t, *m.span(), False), [], line_of(m.start()))
-        if re.search(r"\bat\b", t, re.I):
+        low = t.lower()
+        if " dot " in low or any(x in low for x in _BRACKETED_AT):
             for m in EMAIL_SPELLED.finditer(t):
                 contacts.append(m.span())
                 add(0, *m.span(), self._email(t, *m.span(), True), [], line_of(m.start()))
@@ -261,7 +272,9 @@ class Labelers:
         for m in ID_NUMBER.finditer(t):
             add(2, *m.span(), self._id(t, *m.span()), [], line_of(m.start()))
         streets: list[tuple[int, int]] = []
-        for name, pattern in (("en", ADDRESS_EN), ("de", ADDRESS_DE), ("fr", ADDRESS_FR), ("es", ADDRESS_ES)):
+        for name, pattern, hints in _ADDRESSES:
+            if hints and not any(h in low for h in hints):
+                continue
             for m in pattern.finditer(t):
                 streets.append(m.span())
                 add(3, *m.span(), self._address(t, *m.span(), name), [], line_of(m.start()))
@@ -276,8 +289,14 @@ class Labelers:
             else:
                 runs.append([m])
         for k, run in enumerate(runs):
-            title_before = re.search(r"(?<!\w)([A-Za-zñÑ]{1,8})\.?[ \u00a0]{1,2}$", t[max(0, run[0].start() - 11) : run[0].start()])
-            follows_title = bool(title_before and title_before[1].lower() in TITLES)
+            at = run[0].start()
+            follows_title = False
+            if at > 1 and t[at - 1] in " \u00a0":
+                last = t[max(0, at - 12) : at].split()[-1:]
+                follows_title = bool(last) and last[0].strip("().,;:/\"'•*>-–—").lower() in TITLES
+            followed = k + 1 < len(runs) and t[run[-1].end() : runs[k + 1][0].start()] in (", ", ",\u00a0")
+            if len(run) == 1 and not follows_title and not followed:
+                continue
             spans: list[tuple[list[re.Match], bool]] = []
             for i in range(len(run)):
                 titled = run[i - 1][0].lower().rstrip(".") in TITLES if i else follows_title
@@ -295,7 +314,7 @@ class Labelers:
                 left = run[i - 1][0].lower() if i else ""
                 continued = bool(left) and left not in COMMON and left.rstrip(".") not in TITLES and left not in self.makers
                 self._add_name(t, piece, titled, False, continued, contacts, streets, line_of, add)
-            if k + 1 < len(runs) and re.fullmatch(r",[ \u00a0]", t[run[-1].end() : runs[k + 1][0].start()]):
+            if followed:
                 both = [run[-1], runs[k + 1][0]]
                 second = both[1][0].lower()
                 a, b = both[0].start(), both[1].end()
