@@ -85,6 +85,12 @@ def keywords(c: Column, longer_than: int = 2, most: int = 5) -> Column:
     return F.slice(F.filter(words, lambda w: (F.length(w) > longer_than) & ~w.isin(STOP_WORDS)), 1, most)
 
 
+def long_words(c: Column, longer_than: int = 3) -> Column:
+    """The words of a description that are long enough, whatever they are, upper case, in order."""
+    words = F.split(F.regexp_replace(F.upper(c), r"[^A-Z0-9\s]", " "), r"\s+")
+    return F.filter(words, lambda w: F.length(w) > longer_than)
+
+
 def search_query(number: Column, description: Column) -> Column:
     """Text for a catalogue search: number and description without packing words."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(description, r"(?i)\b(KIT|ASSY|ASSEMBLY|SET)\b", ""), r"\s+", " "))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from partweave.functions.similarity import edit_similarity, exact_confidence, fuzzy_confidence, number_similarity, trigram_similarity
-from partweave.functions.text import keywords, norm_canonical, norm_join, norm_lower, norm_stored, number_variants
+from partweave.functions.text import long_words, norm_canonical, norm_join, norm_lower, norm_stored, number_variants
 from partweave.operators.simjoin import trigram_join
+from partweave.session import Workspace
 
 #: Least description similarity of an exact match, and least similarities of a fuzzy one.
 EXACT_TEXT, FUZZY_PART, FUZZY_TEXT = 0.05, 0.40, 0.25
@@ -150,23 +151,44 @@ def fuzzy_best(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
     return best.select("project_id", "store_id", "supplier_id", F.col("similarity").alias("part_similarity"), "text_similarity", confidence.alias("confidence"))
 
 
+def described_alike(stores: DataFrame, suppliers: DataFrame, suppliers_a_task: int = 1000) -> DataFrame:
+    """(project_id, store_id, supplier_id, similarity): pairs where one of the first three words of more than three
+    characters of the store's description lies anywhere in the supplier's, with the number of those that do.
+
+    Such a word lies in a description where it lies in one of its words.  So the distinct words of either side meet
+    first, by four characters in a row, and the rows meet by the words found.  A word that many suppliers' rows hold
+    is cut into parts by the supplier's id.  A pair counts only where it meets in the first word it shares, so it
+    comes once without another shuffle."""
+    a = stores.select("project_id", "store_id", F.array_distinct(F.slice(long_words(F.col("store_text")), 1, 3)).alias("x"))
+    b = suppliers.select("project_id", "supplier_id", F.explode(F.array_distinct(long_words(F.col("supplier_text")))).alias("held"))
+    fours = F.transform(F.sequence(F.lit(1), F.length("held") - 3), lambda i: F.substring(F.col("held"), i, F.lit(4)))
+    sought = a.select("project_id", F.explode("x").alias("word")).distinct().withColumn("four", F.substring("word", 1, 4))
+    held = b.select("project_id", "held").distinct().withColumn("four", F.explode(F.array_distinct(fours)))
+    links = sought.join(held, ["project_id", "four"]).filter(F.contains("held", "word")).select("project_id", "held", "word")
+    found = b.join(links, ["project_id", "held"]).groupBy("project_id", "supplier_id").agg(F.collect_set("word").alias("y"))
+    by_word = Workspace(stores.sparkSession, "described").save(found, "found").withColumn("word", F.explode("y"))
+    parts = by_word.groupBy("project_id", "word").agg(F.ceil(F.count("*") / suppliers_a_task).cast("int").alias("parts"))
+    left = a.withColumn("word", F.explode("x")).join(parts, ["project_id", "word"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = by_word.join(parts, ["project_id", "word"]).withColumn("part", F.pmod(F.xxhash64("supplier_id"), F.col("parts")).cast("int"))
+    met = left.drop("parts").join(right.drop("parts"), ["project_id", "word", "part"]).withColumn("z", F.array_intersect("x", "y"))
+    return met.filter(F.get("z", F.lit(0)) == F.col("word")).select("project_id", "store_id", "supplier_id", F.size("z").cast("double").alias("similarity"))
+
+
 def tiered_candidates(stores: DataFrame, suppliers: DataFrame, most: int = 20) -> DataFrame:
     """For each store row the candidates of its first tier that has any, best ``most``: same line code and number
-    similarity .3; any line and .4; a shared number keyword of the description."""
+    similarity .3; any line and .4; one of the description's first three long words, of any kind, anywhere in the
+    supplier's description."""
     s, u = _store(stores), _supplier(suppliers)
     near = trigram_join(s, u, "project_id", "store_id", "supplier_id", F.col("store_number"), F.col("supplier_number"), 0.3)
     lines = near.join(s.select("store_id", "store_line"), "store_id").join(u.select("supplier_id", "supplier_line"), "supplier_id")
     tier = F.when(F.upper("store_line") == F.upper("supplier_line"), 1).when(F.col("similarity") >= 0.4, 2)
     by_number = lines.withColumn("tier", tier).filter("tier is not null").select("project_id", "store_id", "supplier_id", "tier", "similarity")
-    left = s.join(by_number.select("store_id"), "store_id", "left_anti")
-    digits = lambda c: F.filter(keywords(c, 3, 3), lambda w: w.rlike("[0-9]"))
-    a = left.select("project_id", "store_id", F.explode(F.array_distinct(digits(F.col("store_text")))).alias("word"))
-    b = u.select("project_id", "supplier_id", F.explode(F.array_distinct(digits(F.col("supplier_text")))).alias("word"))
-    by_word = a.join(b, ["project_id", "word"]).groupBy("project_id", "store_id", "supplier_id").agg(F.count("*").cast("double").alias("similarity"))
-    every = by_number.unionByName(by_word.withColumn("tier", F.lit(3)))
-    first = every.withColumn("least", F.min("tier").over(Window.partitionBy("store_id"))).filter("tier = least")
+    first = by_number.withColumn("least", F.min("tier").over(Window.partitionBy("store_id"))).filter("tier = least").drop("least")
     order = Window.partitionBy("store_id").orderBy(F.col("similarity").desc(), F.col("supplier_id"))
-    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("least")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    near_best = Workspace(s.sparkSession, "tiers").save(best(first), "by_number")  # else the join by number runs for each of its readers
+    left = s.join(near_best.select("store_id"), "store_id", "left_anti")
+    return near_best.unionByName(best(described_alike(left, u).withColumn("tier", F.lit(3))))
 
 
 def variation_matches(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
