@@ -191,6 +191,42 @@ def tiered_candidates(stores: DataFrame, suppliers: DataFrame, most: int = 20) -
     return near_best.unionByName(best(described_alike(left, u).withColumn("tier", F.lit(3))))
 
 
+def additive_best(stores: DataFrame, suppliers: DataFrame, most: int = 100, least: float = 10.0, stores_a_block: int = 1000, suppliers_a_part: int = 5000) -> DataFrame:
+    """(store_id, supplier_id, score, rank): the best ``most`` supplier rows of each store row by the additive score.
+
+    A close cost alone reaches ``least``, so no key that pairs would have to share is complete: every pair of a
+    project is scored.  Store rows in blocks meet supplier rows in parts, and of a part only the best go on."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3))
+    read = lambda side: [F.upper(f"{side}_number").alias("number"), F.upper(f"{side}_line").alias("line"), words(F.col(f"{side}_text")).alias("words"), F.col(f"{side}_cost").cast("double").alias("cost")]
+    s = _store(stores).select("project_id", "store_id", F.struct(*read("store")).alias("a"))
+    u = _supplier(suppliers).select("project_id", "supplier_id", F.struct("supplier_id", *read("supplier")).alias("b"))
+    cuts = lambda rows, size, name: rows.groupBy("project_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    both = cuts(s, stores_a_block, "blocks").join(cuts(u, suppliers_a_part, "parts"), "project_id")
+    s, u = s.join(both, "project_id"), u.join(both, "project_id")
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = s.select("project_id", "store_id", "a", place("store_id", "blocks").alias("block"), every("parts").alias("part"))
+    parts = u.groupBy("project_id", place("supplier_id", "parts").alias("part"), "blocks").agg(F.collect_list("b").alias("rows"))
+    right = parts.select("project_id", "part", "rows", every("blocks").alias("block"))
+    a = F.col("a")
+
+    def score(b: Column) -> Column:
+        x, y = a["number"], b["number"]
+        told = (F.length(x) > 0) & (F.length(y) > 0)
+        number = F.when(F.contains(x, y) | F.contains(y, x), 50).otherwise(0) + 40 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
+        line = F.when((a["line"] == b["line"]) & (a["line"] != ""), 100).otherwise(0)
+        shared = F.coalesce(F.size(F.array_intersect(a["words"], b["words"])), F.lit(0))
+        gap = F.abs(a["cost"] - b["cost"])
+        cost = F.when(gap < 5, 20).when(gap < 20, 10).otherwise(0)
+        return line + F.when(told, number).otherwise(0.0) + 5 * F.when(shared > 0, shared).otherwise(0) + cost
+
+    scored = F.transform("rows", lambda b: F.struct((-score(b)).alias("lack"), b["supplier_id"].alias("supplier_id")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda p: p["lack"] <= -least)), 1, most)
+    met = left.join(right, ["project_id", "block", "part"]).select("store_id", F.explode(best).alias("p"))
+    order = Window.partitionBy("store_id").orderBy(F.col("score").desc(), F.col("supplier_id"))
+    return met.select("store_id", "p.supplier_id", (-F.col("p.lack")).alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def variation_matches(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Each store row's first spelling variation that a supplier lists; confidence falls with its place."""
     s = _store(stores).filter("store_number is not null").select("project_id", "store_id", F.posexplode(number_variants(F.trim("store_number"))).alias("place", "variant"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partweave.functions.similarity import attribute_match, edit_similarity, number_similarity, weighted_score, word_jaccard
+from partweave.functions.similarity import attribute_match, number_similarity, weighted_score, word_jaccard
 from partweave.operators import matching as m
 from partweave.operators.simjoin import vector_topk as nearest
 from partweave.operators.staged import second_stage, staged_matches
@@ -100,20 +100,8 @@ def weighted_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def additive_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Line 100, containment 50, 40 by edit similarity, 5 for each shared long word, 20 or 10 for a close cost; the
-    best 100 of at least 10 of each store row among exact and contained numbers."""
-    p = m.exact_pairs(*_two(spark, folder))
-    line = F.when(F.upper("store_line") == F.upper("supplier_line"), 100).otherwise(0)
-    inside = F.when(F.contains(F.upper("store_number"), F.upper("supplier_number")) | F.contains(F.upper("supplier_number"), F.upper("store_number")), 50).otherwise(0)
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3))
-    shared = F.coalesce(F.size(F.array_intersect(words("store_text"), words("supplier_text"))), F.lit(0))
-    gap = F.abs(F.col("store_cost").cast("double") - F.col("supplier_cost").cast("double"))
-    cost = F.when(gap < 5, 20).when(gap < 20, 10).otherwise(0)
-    score = line + inside + 40 * edit_similarity(F.col("store_number"), F.col("supplier_number")) + 5 * F.when(shared > 0, shared).otherwise(0) + cost
-    from pyspark.sql.window import Window
-
-    scored = p.select("store_id", "supplier_id", score.alias("score")).filter("score >= 10")
-    order = Window.partitionBy("store_id").orderBy(F.col("score").desc(), F.col("supplier_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 100")
+    best 100 of at least 10 of each store row among all supplier rows of its project."""
+    return m.additive_best(*_two(spark, folder))
 
 
 def vector_nearest(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Candidates against the plain rule, pair by pair."""
 
 import re
+from decimal import Decimal
 
-from partweave.operators.matching import tiered_candidates
+from partweave.operators.matching import additive_best, tiered_candidates
 
 ITEM = "id string, project_id string, part_number string, line_code string, description string, canonical_part_number string, mfr_part_number string, current_cost decimal(10,2)"
 
@@ -57,3 +58,44 @@ def test_tiers_equal_the_rule_over_the_tables(spark, data):
         want |= {(s.id, u, tier, rank) for rank, (_, u) in enumerate(sorted(tiers.get(tier, []))[:20], 1)}
     got = tiered_candidates(spark.read.parquet(f"{data}/store_items.parquet"), spark.read.parquet(f"{data}/supplier_items.parquet"))
     assert {(r.store_id, r.supplier_id, r.tier, r["rank"]) for r in got.collect()} == want
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def additive(s, u):
+    x, y, score = (s.part_number or "").upper(), (u.part_number or "").upper(), 0.0
+    if s.line_code and u.line_code and s.line_code.upper() == u.line_code.upper():
+        score += 100
+    if x and y:
+        score += 50 * (x in y or y in x) + 40 * (1 - distance(x, y) / max(len(x), len(y)))
+    words = lambda t: {w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", (t or "").lower()) if len(w) > 3}
+    score += 5 * len(words(s.description) & words(u.description))
+    if s.current_cost is not None and u.current_cost is not None:
+        gap = abs(float(s.current_cost) - float(u.current_cost))
+        score += 20 if gap < 5 else 10 if gap < 20 else 0
+    return score
+
+
+def test_additive_scores_reach_every_supplier_row(spark):
+    stores = items(spark, [("s1", "AB12", "LN", "brake pad", Decimal(9)), ("s2", None, None, None, Decimal(500))])
+    suppliers = items(spark, [("u1", "AB123", None, None, None), ("u2", "ZZZZ", "ln", None, None), ("u3", "QQQQ", None, "BRAKE disc", Decimal(11)), ("u4", "", None, None, Decimal(501)), ("u5", "YYYY", None, None, None)])
+    got = {(r.store_id, r.supplier_id, round(r.score, 6), r["rank"]) for r in additive_best(stores, suppliers).collect()}
+    assert got == {("s1", "u2", 100.0, 1), ("s1", "u1", 82.0, 2), ("s1", "u3", 25.0, 3), ("s2", "u4", 20.0, 1)}
+
+
+def test_additive_scores_equal_the_rule_over_the_tables(spark, data):
+    paths = [f"{data}/store_items.parquet", f"{data}/supplier_items.parquet"]
+    a, b = ({r.id: r for r in spark.read.parquet(p).collect()}.values() for p in paths)
+    b, want = list(b), {}
+    for s in a:
+        scores = sorted((-round(additive(s, u), 6), u.id) for u in b if u.project_id == s.project_id)
+        want |= {(s.id, rank): (-lack, u) for rank, (lack, u) in enumerate([p for p in scores if p[0] <= -10][:20], 1)}
+    got = additive_best(*map(spark.read.parquet, paths), stores_a_block=30, suppliers_a_part=40).filter("rank <= 20").collect()
+    assert {(r.store_id, r["rank"]): round(r.score, 6) for r in got} == {k: score for k, (score, _) in want.items()}
