@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from partweave.functions.similarity import edit_similarity, exact_confidence, fuzzy_confidence, number_similarity, trigram_similarity
-from partweave.functions.text import long_words, norm_canonical, norm_join, norm_lower, norm_stored, number_variants
+from partweave.functions.text import long_words, norm_canonical, norm_join, norm_lower, norm_score, norm_stored, number_variants
 from partweave.operators.simjoin import trigram_join
 from partweave.session import Workspace
 
@@ -49,6 +49,24 @@ def exact_pairs(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
     return s.join(u, ["project_id", "norm"]).withColumn("text_similarity", trigram_similarity(F.col("store_text"), F.col("supplier_text")))
 
 
+def alike_pairs(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Pairs whose numbers are equal as in exact_pairs or share three characters in a row, the supplier's by its number
+    or its maker's number, with the similarity of their descriptions.  A pair counts only where it meets in the first
+    key it shares, so it comes once."""
+
+    def runs(c: str) -> Column:
+        n = norm_score(F.col(c))
+        return F.coalesce(F.when(F.length(n) > 2, F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.substring(n, i, F.lit(3)))), F.array().cast("array<string>"))
+
+    equal = lambda c: F.array_compact(F.array(F.nullif(norm_join(F.col(c)), F.lit(""))))
+    marked = lambda c: F.transform(equal(c), lambda w: F.concat(F.lit("="), w))
+    s = _store(stores).withColumn("x", F.array_distinct(F.concat(marked("store_number"), runs("store_number"))))
+    u = _supplier(suppliers).withColumn("y", F.array_distinct(F.concat(marked("supplier_number"), runs("supplier_number"), runs("supplier_mfr"))))
+    met = s.withColumn("key", F.explode("x")).join(u.withColumn("key", F.explode("y")), ["project_id", "key"])
+    first = met.filter(F.get(F.array_intersect("x", "y"), F.lit(0)) == F.col("key")).drop("x", "y", "key")
+    return first.withColumn("text_similarity", trigram_similarity(F.col("store_text"), F.col("supplier_text")))
+
+
 def exact_best(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Each store row's best exact match whose description is similar at all; a missing description is not similar."""
     kept = exact_pairs(stores, suppliers).filter(F.col("text_similarity") >= EXACT_TEXT)
@@ -245,8 +263,8 @@ def collisions(suppliers: DataFrame) -> DataFrame:
 
 
 def number_scores(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Scores of the exact pairs by each of the number and text similarities."""
-    p = exact_pairs(stores, suppliers)
+    """Scores of the pairs with alike numbers by each of the number and text similarities."""
+    p = alike_pairs(stores, suppliers)
     return p.select(
         "store_id", "supplier_id", number_similarity(F.col("store_number"), F.col("supplier_number")).alias("number_score"),
         edit_similarity(F.col("store_number"), F.col("supplier_number")).alias("edit_score"), "text_similarity",

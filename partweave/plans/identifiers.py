@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partweave.functions import text as t
 from partweave.functions.similarity import common_run_similarity, cost_similarity, unit_mismatch, windowed_similarity
-from partweave.operators.matching import exact_pairs, once
+from partweave.operators.matching import alike_pairs, exact_pairs, once
 from partweave.plans.sqltext import SQL_ROWS, sql_canonical, sql_join_key, sql_lower_key, sql_score_key, sql_stored
 from partweave.sources.tables import table
 
@@ -60,13 +60,13 @@ def cost_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def common_runs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = exact_pairs(table(spark, folder, "store_items"), table(spark, folder, "supplier_items"))
+    pairs = alike_pairs(table(spark, folder, "store_items"), table(spark, folder, "supplier_items"))
     score = common_run_similarity(t.norm_stored(F.col("store_number")), t.norm_stored(F.col("supplier_mfr")))
     return pairs.select("store_id", "supplier_id", score.alias("score"))
 
 
 def windowed_scores(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = exact_pairs(table(spark, folder, "store_items"), table(spark, folder, "supplier_items"))
+    pairs = alike_pairs(table(spark, folder, "store_items"), table(spark, folder, "supplier_items"))
     return pairs.select("store_id", "supplier_id", windowed_similarity("store_number", "supplier_number").alias("score"))
 
 

@@ -89,7 +89,7 @@ def match_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weighted_scores(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = m.exact_pairs(*_two(spark, folder))
+    pairs = m.alike_pairs(*_two(spark, folder))
     kinds = lambda side, key: m.once(table(spark, folder, side)).select(F.col("id").alias(key), F.col("category").alias(f"{key}_c"), F.col("subcategory").alias(f"{key}_s"))
     full = pairs.join(kinds("store_items", "store_id"), "store_id").join(kinds("supplier_items", "supplier_id"), "supplier_id")
     number = number_similarity(F.col("store_number"), F.col("supplier_number"))

@@ -3,7 +3,8 @@
 import re
 from decimal import Decimal
 
-from partweave.operators.matching import additive_best, tiered_candidates
+from partweave.operators.matching import additive_best, alike_pairs, exact_pairs, tiered_candidates
+from partweave.plans import catalog
 
 ITEM = "id string, project_id string, part_number string, line_code string, description string, canonical_part_number string, mfr_part_number string, current_cost decimal(10,2)"
 
@@ -99,3 +100,25 @@ def test_additive_scores_equal_the_rule_over_the_tables(spark, data):
         want |= {(s.id, rank): (-lack, u) for rank, (lack, u) in enumerate([p for p in scores if p[0] <= -10][:20], 1)}
     got = additive_best(*map(spark.read.parquet, paths), stores_a_block=30, suppliers_a_part=40).filter("rank <= 20").collect()
     assert {(r.store_id, r["rank"]): round(r.score, 6) for r in got} == {k: score for k, (score, _) in want.items()}
+
+
+def test_alike_pairs_equal_the_rule_over_the_tables(spark, data):
+    a, b = (spark.read.parquet(f"{data}/{side}_items.parquet") for side in ("store", "supplier"))
+    rows_a, rows_b = a.collect(), b.collect()
+    plain = lambda n: re.sub("[^A-Z0-9]", "", (n or "").upper())
+    runs = lambda n: {plain(n)[i : i + 3] for i in range(len(plain(n)) - 2)}
+    equal = lambda n, o: plain(n).lstrip("0") == plain(o).lstrip("0") != ""
+    want = {
+        (s.id, u.id)
+        for s in rows_a
+        for u in rows_b
+        if s.project_id == u.project_id and (equal(s.part_number, u.part_number) or runs(s.part_number) & (runs(u.part_number) | runs(u.mfr_part_number)))
+    }
+    got = [tuple(r) for r in alike_pairs(a, b).select("store_id", "supplier_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert want > {tuple(r) for r in exact_pairs(a, b).select("store_id", "supplier_id").collect()}
+
+
+def test_scores_come_for_unequal_numbers(spark, data):
+    for name, score in (("common_runs", "score"), ("windowed_scores", "score"), ("match_scores", "number_score"), ("weighted_scores", "score")):
+        assert catalog.queries()[name](spark, data).filter(f"{score} > 0 and {score} < 0.8").limit(1).count() == 1, name
