@@ -1,11 +1,9 @@
-"""Similarities and scores as Column functions.  Only the windowed character match needs Python (Arrow batches)."""
+"""Similarities and scores as Column functions, all of them inside generated code."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from partweave.functions.text import norm_score
 
@@ -76,26 +74,27 @@ def common_run_similarity(a: Column, b: Column) -> Column:
     return F.when(blank, 0.0).when(a == b, 1.0).when(F.contains(long, short), n / F.length(long)).otherwise(best / F.length(long))
 
 
-def windowed_match(a: str | None, b: str | None) -> float:
+def windowed_similarity(a: Column, b: Column) -> Column:
     """Characters that match within half the longer length, over the longer length: each character of the shorter
-    text takes the first free equal one in its window.  No transpositions and no prefix bonus."""
-    if not a or not b:
-        return 0.0
-    long, short = (a, b) if len(a) > len(b) else (b, a)
-    reach, free, met = len(long) // 2 - 1, [True] * len(long), 0
-    for i, ch in enumerate(short):
-        for j in range(max(0, i - reach), min(i + reach + 1, len(long))):
-            if free[j] and long[j] == ch:
-                free[j] = False
-                met += 1
-                break
-    return met / len(long)
-
-
-@F.pandas_udf(DoubleType())
-def windowed_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """windowed_match over columns: the greedy scan keeps state that no built-in expression has."""
-    return pd.Series([windowed_match(x, y) for x, y in zip(a, b)])
+    text takes the first free equal one in its window.  No transpositions and no prefix bonus; 0 if either is empty.
+
+    The fold carries the longer text, in which a character that was taken is blotted out."""
+    swap = F.length(a) > F.length(b)
+    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    n, m = F.length(long), F.length(short)
+    reach = F.floor(n / 2).cast("int") - 1
+    taken = F.lit("\u0001")
+
+    def take(left: Column, i: Column) -> Column:
+        low = F.greatest(F.lit(1), i - reach)
+        window = F.substring(left, low, F.least(n, i + reach) - low + 1)
+        at = F.call_function("locate", F.substring(short, i, F.lit(1)), window)
+        return F.when(at > 0, F.overlay(left, taken, low + at - 1, F.lit(1))).otherwise(left)
+
+    end = F.aggregate(F.sequence(F.lit(1), m), long, take)
+    met = n - F.length(F.replace(end, taken, F.lit("")))
+    blank = a.isNull() | b.isNull() | (a == "") | (b == "")
+    return F.when(blank, 0.0).otherwise(met / n)
 
 
 def attribute_match(a: Column, b: Column) -> Column:
@@ -138,22 +137,29 @@ def fuzzy_confidence(part: Column, text: Column) -> Column:
     return F.when((part >= 0.9) & (text >= 0.7), F.least(F.lit(0.99), w + 0.05)).otherwise(F.greatest(F.lit(0.6), F.least(F.lit(0.95), w)))
 
 
+def cost_comparison(a: Column, b: Column, tolerance: float = 5.0) -> Column:
+    """Struct of two costs: difference, percent (of their mean), similarity (exp(-0.1 * percent)) and close (percent
+    within ``tolerance``); null unless both are positive."""
+    a, b = a.cast("double"), b.cast("double")
+    difference = F.abs(a - b)
+    percent = difference / ((a + b) / 2) * 100
+    told = F.struct(difference.alias("difference"), percent.alias("percent"), F.exp(-0.1 * percent).alias("similarity"), (percent <= tolerance).alias("close"))
+    return F.when((a > 0) & (b > 0), told)
+
+
 def cost_similarity(a: Column, b: Column) -> Column:
     """exp(-0.1 * difference in percent of the mean); null unless both costs are positive."""
-    a, b = a.cast("double"), b.cast("double")
-    percent = F.abs(a - b) / ((a + b) / 2) * 100
-    return F.when((a > 0) & (b > 0), F.exp(-0.1 * percent))
+    return cost_comparison(a, b)["similarity"]
 
 
-#: Cost ratios that tell of another unit.
-UNIT_RATIOS = [(12, "dozen"), (50, "roll of 50"), (100, "hundred"), (1000, "thousand")]
+#: Cost ratios that tell of another unit, what is said of them, and of any other ratio above 10.
+UNIT_RATIOS = [(12, "per-foot vs per-dozen"), (50, "per-foot vs per-roll (50ft)"), (100, "per-unit vs per-hundred"), (1000, "per-unit vs per-thousand")]
+UNIT_UNKNOWN, UNIT_BEYOND, UNIT_WITHIN = "Unknown unit mismatch (large price difference)", 10, 0.1
 
 
 def unit_mismatch(a: Column, b: Column) -> Column:
-    """The unit that the ratio of two positive costs suggests, "unknown" above 10, else null."""
+    """What the ratio of two positive costs suggests about their units; null if nothing."""
     a, b = a.cast("double"), b.cast("double")
     ratio = F.greatest(a, b) / F.least(a, b)
-    told = F.lit(None).cast("string")
-    for expected, name in reversed(UNIT_RATIOS):
-        told = F.when(F.abs(ratio - expected) / expected < 0.1, name).otherwise(told)
-    return F.when((a > 0) & (b > 0), F.coalesce(told, F.when(ratio > 10, "unknown")))
+    near = [F.when(F.abs(ratio / expected - 1) < UNIT_WITHIN, name) for expected, name in UNIT_RATIOS]
+    return F.when((a > 0) & (b > 0), F.coalesce(*near, F.when(ratio > UNIT_BEYOND, UNIT_UNKNOWN)))

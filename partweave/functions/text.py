@@ -4,6 +4,8 @@ The normalisers are deliberately several: sources store numbers in forms that ar
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,30 +117,50 @@ def punctuation_signature(a: Column, b: Column) -> Column:
     return F.when(norm_canonical(a) == norm_canonical(b), F.when(told == "", "punctuation_change").otherwise(told))
 
 
+#: How a change of spelling is put into words.
+CHANGE_TEXTS = {
+    "replaced": 'Replace "{gone}" with "{come}"',
+    "removed": 'Remove "{gone}"',
+    "added": 'Add "{come}"',
+    "case": "Change case",
+    "suffix": 'Add suffix "{tail}"',
+    "prefix": 'Add prefix "{head}"',
+    "other": 'Transform "{a}" → "{b}"',
+}
+#: Words in such a text and the type of rule they tell, the first that stands in it; else custom.
+RULE_TYPES = [("Replace", "punctuation"), ("Remove", "punctuation"), ("case", "case_normalization"), ("prefix", "affix"), ("suffix", "affix")]
+
+
+def fill(template: str, **parts: Column) -> Column:
+    """A text with columns in place of the names in braces; null if one of them is null."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[parts[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces)])
+
+
+def change_kind(a: Column, b: Column) -> Column:
+    """A key of CHANGE_TEXTS: what happens to the set of characters between two spellings; where the sets are equal,
+    what happens to case or to the ends."""
+    x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
+    gone, come = F.size(F.array_except(x, y)), F.size(F.array_except(y, x))
+    same_sets = F.when((F.upper(a) == F.upper(b)) & (a != b), "case").when(b.startswith(a), "suffix").when(b.endswith(a), "prefix").otherwise("other")
+    mixed = F.when((gone == 1) & (come == 1), "replaced").otherwise(same_sets)
+    return F.when((gone == 0) & (come == 0), same_sets).when(come == 0, "removed").when(gone == 0, "added").otherwise(mixed)
+
+
 def character_change(a: Column, b: Column) -> Column:
-    """What distinguishes two spellings, told by the sets of their characters."""
+    """What distinguishes two spellings, in words."""
     x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
-    gone, come = F.array_except(x, y), F.array_except(y, x)
-    n_gone, n_come = F.size(gone), F.size(come)
-    return (
-        F.when((n_gone == 1) & (n_come == 1), F.concat(F.lit("swap "), gone[0], F.lit(" for "), come[0]))
-        .when((n_gone > 0) & (n_come == 0), F.concat(F.lit("drop "), F.array_join(F.array_sort(gone), "")))
-        .when((n_gone == 0) & (n_come > 0), F.concat(F.lit("insert "), F.array_join(F.array_sort(come), "")))
-        .when((F.upper(a) == F.upper(b)) & (a != b), "case")
-        .when(b.startswith(a), F.concat(F.lit("suffix "), F.substring(b, F.length(a) + 1, F.lit(1 << 20))))
-        .when(b.endswith(a), F.concat(F.lit("prefix "), F.substring(b, F.lit(1), F.length(b) - F.length(a))))
-        .otherwise("other")
-    )
+    parts = {
+        "gone": F.array_join(F.array_except(x, y), ", "), "come": F.array_join(F.array_except(y, x), ", "), "a": a, "b": b,
+        "tail": F.substring(b, F.length(a) + 1, F.lit(1 << 20)), "head": F.substring(b, F.lit(1), F.length(b) - F.length(a)),
+    }
+    kind = change_kind(a, b)
+    return F.coalesce(*[F.when(kind == k, fill(t, **parts)) for k, t in CHANGE_TEXTS.items()])
 
 
 def change_class(change: Column) -> Column:
-    """The kind of rule that a change of characters suggests."""
-    return (
-        F.when(change.startswith("swap ") | change.startswith("drop "), "punctuation")
-        .when(change == "case", "case_normalization")
-        .when(change.startswith("suffix ") | change.startswith("prefix "), "affix")
-        .otherwise("custom")
-    )
+    """The type of rule that a change, in words, suggests."""
+    return F.coalesce(*[F.when(F.contains(change, F.lit(word)), rule) for word, rule in RULE_TYPES], F.lit("custom"))
 
 
 def string_hash32(c: Column) -> Column:

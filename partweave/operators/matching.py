@@ -238,7 +238,7 @@ def additive_best(stores: DataFrame, suppliers: DataFrame, most: int = 100, leas
         cost = F.when(gap < 5, 20).when(gap < 20, 10).otherwise(0)
         return line + F.when(told, number).otherwise(0.0) + 5 * F.when(shared > 0, shared).otherwise(0) + cost
 
-    scored = F.transform("rows", lambda b: F.struct((-score(b)).alias("lack"), b["supplier_id"].alias("supplier_id")))
+    scored = F.transform("rows", lambda b: F.struct(F.round(-score(b), 9).alias("lack"), b["supplier_id"].alias("supplier_id")))
     best = F.slice(F.sort_array(F.filter(scored, lambda p: p["lack"] <= -least)), 1, most)
     met = left.join(right, ["project_id", "block", "part"]).select("store_id", F.explode(best).alias("p"))
     order = Window.partitionBy("store_id").orderBy(F.col("score").desc(), F.col("supplier_id"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partweave.functions import text as t
-from partweave.functions.similarity import common_run_similarity, cost_similarity, unit_mismatch, windowed_similarity
+from partweave.functions.similarity import common_run_similarity, cost_comparison, unit_mismatch, windowed_similarity
 from partweave.operators.matching import alike_pairs, exact_pairs, once
-from partweave.plans.sqltext import SQL_ROWS, sql_canonical, sql_join_key, sql_lower_key, sql_score_key, sql_stored
+from partweave.operators.skew import numbered
+from partweave.plans.sqltext import SQL_ALIKE, SQL_ROWS, sql_canonical, sql_join_key, sql_lower_key, sql_score_key, sql_stored
 from partweave.sources.tables import table
 
 
@@ -56,7 +57,9 @@ def punctuation_signatures(spark: SparkSession, folder: str) -> DataFrame:
 def cost_checks(spark: SparkSession, folder: str) -> DataFrame:
     a, b = F.col("store_cost"), F.col("supplier_cost")
     pairs = exact_pairs(table(spark, folder, "store_items"), table(spark, folder, "supplier_items"))
-    return pairs.select("store_id", "supplier_id", cost_similarity(a, b).alias("cost_similarity"), unit_mismatch(a, b).alias("unit"))
+    told = pairs.withColumn("cost", cost_comparison(a, b))
+    parts = [F.col(f"cost.{x}").alias(f"cost_{x}") for x in ("difference", "percent", "similarity", "close")]
+    return told.select("store_id", "supplier_id", *parts, unit_mismatch(a, b).alias("unit"))
 
 
 def common_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,17 +70,14 @@ def common_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def windowed_scores(spark: SparkSession, folder: str) -> DataFrame:
     pairs = alike_pairs(table(spark, folder, "store_items"), table(spark, folder, "supplier_items"))
-    return pairs.select("store_id", "supplier_id", windowed_similarity("store_number", "supplier_number").alias("score"))
+    return pairs.select("store_id", "supplier_id", windowed_similarity(F.col("store_number"), F.col("supplier_number")).alias("score"))
 
 
 def stride_sample(spark: SparkSession, folder: str) -> DataFrame:
     """A sampling operator: of each project's rows in order of id, every tenth, beginning at a place that a hash of
     the project tells."""
-    from pyspark.sql.window import Window
-
-    rows = _items(spark, folder).select("project_id", "id")
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy("id")) - 1
-    return rows.withColumn("place", place).filter(F.pmod(F.col("place") + t.string_hash32(F.col("project_id")), F.lit(10)) == 0)
+    rows = numbered(_items(spark, folder).filter("id is not null and project_id is not null").select("project_id", "id"), "project_id", "id")
+    return rows.filter(F.pmod(F.col("place") + t.string_hash32(F.col("project_id")), F.lit(10)) == 0)
 
 
 QUERIES = {
@@ -118,19 +118,34 @@ SELECT id, concat_ws(' ', nullif(trim(part_number), ''), d) AS query, concat_ws(
 g AS (SELECT *, concat_ws('_', CASE WHEN contains(a, '/') AND contains(b, '-') THEN 'slash_to_dash' WHEN contains(a, '-') AND contains(b, '/') THEN 'dash_to_slash' END,
     CASE WHEN contains(a, '-') AND NOT contains(b, '-') THEN 'remove_dash' END, CASE WHEN contains(a, '/') AND NOT contains(b, '/') THEN 'remove_slash' END,
     CASE WHEN contains(a, '.') AND NOT contains(b, '.') THEN 'remove_dot' END, CASE WHEN contains(a, ' ') AND NOT contains(b, ' ') THEN 'remove_space' END) AS told,
-    list_distinct(string_split(x, '')) AS p, list_distinct(string_split(y, '')) AS q FROM r WHERE {sql_canonical('a')} = {sql_canonical('b')}),
-h AS (SELECT *, list_sort(list_filter(p, lambda c: NOT list_contains(q, c))) AS gone, list_sort(list_filter(q, lambda c: NOT list_contains(p, c))) AS come FROM g),
+    [c FOR c, i IN string_split(x, '') IF list_position(string_split(x, ''), c) = i] AS p, [c FOR c, i IN string_split(y, '') IF list_position(string_split(y, ''), c) = i] AS q FROM r WHERE {sql_canonical('a')} = {sql_canonical('b')}),
+h AS (SELECT *, list_filter(p, lambda c: NOT list_contains(q, c)) AS gone, list_filter(q, lambda c: NOT list_contains(p, c)) AS come FROM g),
 k AS (SELECT id, CASE WHEN told = '' THEN 'punctuation_change' ELSE told END AS signature,
-  CASE WHEN len(gone) = 1 AND len(come) = 1 THEN 'swap ' || gone[1] || ' for ' || come[1] WHEN len(gone) > 0 AND len(come) = 0 THEN 'drop ' || array_to_string(gone, '')
-       WHEN len(gone) = 0 AND len(come) > 0 THEN 'insert ' || array_to_string(come, '') WHEN upper(x) = upper(y) AND x <> y THEN 'case'
-       WHEN starts_with(y, x) THEN 'suffix ' || substr(y, length(x) + 1) WHEN ends_with(y, x) THEN 'prefix ' || substr(y, 1, length(y) - length(x)) ELSE 'other' END AS change FROM h)
-SELECT *, CASE WHEN starts_with(change, 'swap ') OR starts_with(change, 'drop ') THEN 'punctuation' WHEN change = 'case' THEN 'case_normalization'
-  WHEN starts_with(change, 'suffix ') OR starts_with(change, 'prefix ') THEN 'affix' ELSE 'custom' END AS rule_type FROM k""",
+  CASE WHEN len(gone) = 1 AND len(come) = 1 THEN 'Replace "' || gone[1] || '" with "' || come[1] || '"' WHEN len(gone) > 0 AND len(come) = 0 THEN 'Remove "' || array_to_string(gone, ', ') || '"'
+       WHEN len(gone) = 0 AND len(come) > 0 THEN 'Add "' || array_to_string(come, ', ') || '"' WHEN upper(x) = upper(y) AND x <> y THEN 'Change case'
+       WHEN starts_with(y, x) THEN 'Add suffix "' || substr(y, length(x) + 1) || '"' WHEN ends_with(y, x) THEN 'Add prefix "' || substr(y, 1, length(y) - length(x)) || '"'
+       ELSE 'Transform "' || x || '" → "' || y || '"' END AS change FROM h)
+SELECT *, CASE WHEN contains(change, 'Replace') OR contains(change, 'Remove') THEN 'punctuation' WHEN contains(change, 'case') THEN 'case_normalization'
+  WHEN contains(change, 'prefix') OR contains(change, 'suffix') THEN 'affix' ELSE 'custom' END AS rule_type FROM k""",
     "cost_checks": f"""{_PAIRS}, c AS (SELECT store_id, supplier_id, store_cost::double AS a, supplier_cost::double AS b FROM p), r AS (SELECT *, greatest(a, b) / least(a, b) AS ratio, a > 0 AND b > 0 AS ok FROM c)
-SELECT store_id, supplier_id, CASE WHEN ok THEN exp(-0.1 * abs(a - b) / ((a + b) / 2) * 100) END AS cost_similarity,
-  CASE WHEN NOT coalesce(ok, false) THEN NULL WHEN abs(ratio - 12) / 12 < 0.1 THEN 'dozen' WHEN abs(ratio - 50) / 50 < 0.1 THEN 'roll of 50' WHEN abs(ratio - 100) / 100 < 0.1 THEN 'hundred'
-       WHEN abs(ratio - 1000) / 1000 < 0.1 THEN 'thousand' WHEN ratio > 10 THEN 'unknown' END AS unit FROM r""",
-    "common_runs": f"""{_PAIRS}, c AS (SELECT store_id, supplier_id, {sql_stored('store_number')} AS a, {sql_stored('supplier_mfr')} AS b FROM p),
+SELECT store_id, supplier_id, CASE WHEN ok THEN abs(a - b) END AS cost_difference, CASE WHEN ok THEN abs(a - b) / ((a + b) / 2) * 100 END AS cost_percent,
+  CASE WHEN ok THEN exp(-0.1 * (abs(a - b) / ((a + b) / 2) * 100)) END AS cost_similarity, CASE WHEN ok THEN abs(a - b) / ((a + b) / 2) * 100 <= 5 END AS cost_close,
+  CASE WHEN NOT coalesce(ok, false) THEN NULL WHEN abs(ratio / 12 - 1) < 0.1 THEN 'per-foot vs per-dozen' WHEN abs(ratio / 50 - 1) < 0.1 THEN 'per-foot vs per-roll (50ft)'
+       WHEN abs(ratio / 100 - 1) < 0.1 THEN 'per-unit vs per-hundred' WHEN abs(ratio / 1000 - 1) < 0.1 THEN 'per-unit vs per-thousand' WHEN ratio > 10 THEN 'Unknown unit mismatch (large price difference)' END AS unit FROM r""",
+    "windowed_scores": f"""WITH RECURSIVE {SQL_ROWS}, {SQL_ALIKE}, q AS (SELECT DISTINCT store_number AS a, supplier_number AS b FROM p WHERE store_number <> '' AND supplier_number <> ''),
+r AS (SELECT a, b, CASE WHEN length(a) > length(b) THEN b ELSE a END AS sh, CASE WHEN length(a) > length(b) THEN a ELSE b END AS lo FROM q),
+f(a, b, sh, n, e, i, st) AS (SELECT a, b, sh, length(lo), length(lo) // 2 - 1, 0, lo FROM r
+  UNION ALL SELECT a, b, sh, n, e, i + 1, CASE WHEN pos > 0 THEN substr(st, 1, w + pos - 2) || chr(1) || substr(st, w + pos) ELSE st END
+  FROM (SELECT *, instr(substr(st, w, least(n, i + 1 + e) - w + 1), substr(sh, i + 1, 1)) AS pos FROM (SELECT *, greatest(1, i + 1 - e) AS w FROM f WHERE i < length(sh)))),
+g AS (SELECT a, b, (length(st) - length(replace(st, chr(1), ''))) / n AS score FROM f WHERE i = length(sh))
+SELECT store_id, supplier_id, coalesce(score, 0)::double AS score FROM p LEFT JOIN g ON a = store_number AND b = supplier_number""",
+    "stride_sample": """WITH RECURSIVE h(project_id, i, v) AS (SELECT DISTINCT project_id, 0, 0::bigint FROM store_items WHERE project_id IS NOT NULL
+  UNION ALL SELECT project_id, i + 1, (v * 31 + ascii(substr(project_id, i + 1, 1)) + 2147483648) % 4294967296 - 2147483648 + CASE WHEN (v * 31 + ascii(substr(project_id, i + 1, 1)) + 2147483648) % 4294967296 < 0 THEN 4294967296 ELSE 0 END
+  FROM h WHERE i < length(project_id)),
+k AS (SELECT project_id, abs(v) AS v FROM h WHERE i = length(project_id)),
+r AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id) - 1 AS place FROM (SELECT DISTINCT project_id, id FROM store_items WHERE project_id IS NOT NULL))
+SELECT project_id, id, place FROM r JOIN k USING (project_id) WHERE (place + v) % 10 = 0""",
+    "common_runs": f"""WITH RECURSIVE {SQL_ROWS}, {SQL_ALIKE}, c AS (SELECT store_id, supplier_id, {sql_stored('store_number')} AS a, {sql_stored('supplier_mfr')} AS b FROM p),
 d AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo FROM c)
 SELECT store_id, supplier_id, (CASE WHEN a IS NULL OR b IS NULL OR a = '' OR b = '' THEN 0 WHEN a = b THEN 1 WHEN contains(lo, sh) THEN length(sh) / length(lo)
   ELSE coalesce(list_max(list_filter(range(3, length(sh) + 1), lambda k: len(list_filter(range(1, length(sh) - k + 2), lambda i: contains(lo, substr(sh, i, k)))) > 0)), 0) / length(lo) END)::double AS score FROM d""",

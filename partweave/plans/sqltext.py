@@ -47,3 +47,18 @@ s AS (SELECT DISTINCT project_id, id AS store_id, part_number AS store_number, l
              canonical_part_number AS store_canonical, mfr_part_number AS store_mfr, current_cost AS store_cost FROM store_items),
 u AS (SELECT DISTINCT project_id, id AS supplier_id, part_number AS supplier_number, line_code AS supplier_line, description AS supplier_text,
              canonical_part_number AS supplier_canonical, mfr_part_number AS supplier_mfr, current_cost AS supplier_cost FROM supplier_items)"""
+
+_RUNS = "list_transform(range(1, greatest(length({c}) - 1, 1)), lambda i: substr({c}, i, 3))"
+_MARK = "CASE WHEN {c} <> '' THEN ['=' || {c}] ELSE [] END"
+
+
+def _keys(number: str, *more: str) -> str:
+    parts = [_MARK.format(c=sql_join_key(number)), *[_RUNS.format(c=sql_score_key(c)) for c in (number, *more)]]
+    return " || ".join(f"coalesce({x}, [])" for x in parts)
+
+
+#: After SQL_ROWS: pairs of a project whose numbers are equal as join keys or share three characters in a row.
+SQL_ALIKE = f"""
+sk AS (SELECT *, {_keys('store_number')} AS xs FROM s),
+uk AS (SELECT *, {_keys('supplier_number', 'supplier_mfr')} AS ys FROM u),
+p AS (SELECT * EXCLUDE (xs, ys), {sql_jaccard(sql_trigrams('store_text'), sql_trigrams('supplier_text'))} AS text_similarity FROM sk JOIN uk USING (project_id) WHERE list_has_any(xs, ys))"""

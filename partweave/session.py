@@ -36,14 +36,17 @@ def local_session(cores: int | str = "*", app: str = "partweave", **conf: str) -
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir`` of the session, else the checkpoint
-    directory set on its context, else (only where neither is set) a new temporary folder, which is then
-    remembered in the session."""
+    directory set on its context, else (only where neither is set, and only on a local master) a new temporary folder,
+    which is then remembered in the session.  On a cluster a folder of one machine would be lost with it, so there the
+    setting is demanded."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     if option.isDefined():
         return option.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="partweave-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -1,7 +1,6 @@
 import itertools
+import random
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from partweave.functions import similarity as sim
@@ -76,16 +75,46 @@ def test_confidences_and_costs(spark):
     df = spark.createDataFrame([(0.95, True), (0.95, False), (0.1, True)], "d double, s boolean")
     assert [r[0] for r in df.select(sim.exact_confidence(F.col("s"), F.col("d"))).collect()] == [0.99, 0.98, 0.7]
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 12.5), (1.0, 30.0), (0.0, 1.0), (None, 1.0)], "a double, b double")
-    assert [r[0] for r in df.select(sim.unit_mismatch(F.col("a"), F.col("b"))).collect()] == [None, "dozen", "unknown", None, None]
+    assert [r[0] for r in df.select(sim.unit_mismatch(F.col("a"), F.col("b"))).collect()] == [None, "per-foot vs per-dozen", "Unknown unit mismatch (large price difference)", None, None]
     assert [r[0] for r in df.select(sim.cost_similarity(F.col("a"), F.col("b"))).collect()][0] == 1.0
 
 
-@given(st.text("ab1", max_size=8), st.text("ab1", max_size=8))
-@settings(max_examples=200, deadline=None)
-def test_windowed_match_bounds(a, b):
-    assert 0 <= sim.windowed_match(a, b) <= 1
-    if len(a) > 1:  # the window of a single character is empty
-        assert sim.windowed_match(a, a) == 1
+def test_costs_and_units_stated_cases(spark):
+    df = spark.createDataFrame([(1.80, 1.83), (1.0, 2.0), (None, 1.0), (0.0, 1.0)], "a double, b double")
+    told = [r[0] for r in df.select(sim.cost_comparison(F.col("a"), F.col("b"))).collect()]
+    assert round(told[0].difference, 2) == 0.03 and told[0].percent < 2 and told[0].close and 0.84 < told[0].similarity < 0.86
+    assert told[1].percent > 50 and not told[1].close and told[2] is None and told[3] is None
+    df = spark.createDataFrame([(1.80, 90.0), (0.5, 50.0), (1.8, 1.85), (1.0, 25.0)], "a double, b double")
+    assert [r[0] for r in df.select(sim.unit_mismatch(F.col("a"), F.col("b"))).collect()] == [
+        "per-foot vs per-roll (50ft)", "per-unit vs per-hundred", None, "Unknown unit mismatch (large price difference)"
+    ]
+
+
+def test_changes_in_words(spark):
+    values = [("21/3/1", "21-3-1"), ("GM-8036", "GM8036"), ("A-B/C", "ABC"), ("AB", "A-B"), ("Aa", "aA"), ("AB", "ABBA"), ("AB", "BAAB"), ("AB", "BA"), ("AB", "CD"), (None, "x")]
+    told = ['Replace "/" with "-"', 'Remove "-"', 'Remove "-, /"', 'Add "-"', "Change case", 'Add suffix "BA"', 'Add prefix "BA"', 'Transform "AB" → "BA"', 'Transform "AB" → "CD"', None]
+    assert pairs(spark, values, t.character_change) == told
+    assert column(spark, told[:9], t.change_class) == ["punctuation", "punctuation", "punctuation", "custom", "case_normalization", "affix", "affix", "custom", "custom"]
+
+
+def windowed_match(a, b):
+    """The rule, character by character."""
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    reach, free, met = len(long) // 2 - 1, [True] * len(long), 0
+    for i, ch in enumerate(short):
+        for j in range(max(0, i - reach), min(i + reach + 1, len(long))):
+            if free[j] and long[j] == ch:
+                free[j] = False
+                met += 1
+                break
+    return met / len(long) if a and b else 0.0
+
+
+def test_windowed_match_equals_the_rule(spark):
+    rng = random.Random(4)
+    values = [("".join(rng.choice("AB12-") for _ in range(rng.randrange(9))), "".join(rng.choice("AB12-") for _ in range(rng.randrange(9)))) for _ in range(400)]
+    assert pairs(spark, values, sim.windowed_similarity) == [windowed_match(a, b) for a, b in values]
+
 
 
 def test_wildcards_and_cores(spark):
