@@ -1,48 +1,80 @@
 """Personal information in free text: found, told apart by kind, and replaced (problem 9).
 
-Method: weak supervision.  Patterns, gazetteers and context labelers vote on candidate places.  No place is labelled
-by hand: expectation-maximisation over the counts of the vote patterns estimates for each labeler how often it is
-right, and so a probability for each pattern.  With these as soft labels a span classifier (logistic regression over
-hashed features of the span and its surroundings) is trained; it decides every candidate of every text.
-
-Counts cover all documents.  Only two bounded things come to the driver: the counts of the vote patterns (at most
-3 to the number of labelers a kind, in practice some hundreds) and the training sample (TRAIN_ROWS a kind).
+Method: weak supervision.  Patterns, gazetteers and general context labelers vote on candidate places.  No place is
+labelled by hand: expectation-maximisation over the counts of the vote patterns estimates for each labeler how often it
+is right, and so a probability for each pattern.  With these as soft labels a span classifier (logistic regression over
+hashed features of the span and its surroundings) is trained, surer labels weighing more; so it learns from the places
+that the labelers are sure of in what company people and their numbers stand, and it decides every candidate of every
+text.  Which words are ordinary, and so hardly names, is learned from how the corpus writes them.
+
+Counts cover all documents.  Three bounded things come to the driver: the counts of the vote patterns (at most 3 to the
+number of labelers a kind, in practice some hundreds), the table of word case (CASE_BUCKETS counts) and the training
+sample (TRAIN_ROWS a kind).
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from partweave.llm.makers import Makers
-from partweave.llm.piispans import DIMENSIONS, KINDS, Labelers
+from partweave.llm.piispans import CASE_BUCKETS, DIMENSIONS, KINDS, Labelers, cased_words, word_bucket
 from partweave.session import Workspace, spread
 
 #: Candidates of each kind on which the classifier is fitted: those first in a hash order of their places.
 TRAIN_ROWS = 40_000
 #: Passes over the sample, and the probability from which a candidate is taken.
-EPOCHS, THRESHOLD = 6, 0.5
+EPOCHS, THRESHOLD, BATCH = 16, 0.5, 64
 #: Least weight (log odds) of a vote.
 WEAKEST = 0.4
-#: The gazetteer of names is a fixed small list, read on the driver; more rows than this raise.
-MOST_NAMES = 200_000
-
 _CANDIDATES = "array<struct<kind:int,start:int,stop:int,votes:string,features:array<int>>>"
 
 
-def find_candidates(documents: DataFrame, id_col: str, text_col: str, given: list[str], family: list[str], makers: Makers) -> DataFrame:
+def word_case(documents: DataFrame, text_col: str) -> bytes:
+    """For each bucket of words how often, of 255, the texts write them in lower case, over all texts.  Words in capitals
+    say nothing.  A table of fixed size, added up before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                seen.update(cased_words(text))
+            lower, title = Counter(), Counter()
+            for w, n in seen.items():
+                if w.islower():
+                    lower[word_bucket(w)] += n
+                elif w[0].isupper() and not w.isupper():
+                    title[word_bucket(w.lower())] += n
+            buckets = sorted(lower.keys() | title.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int32()), pa.array([lower[b] for b in buckets], pa.int64()), pa.array([title[b] for b in buckets], pa.int64())], names=["bucket", "low", "title"]
+            )
+
+    parts = spread(documents.select(text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, "bucket int, low bigint, title bigint")
+    share = F.round(255 * F.sum("low") / (F.sum("low") + F.sum("title"))).cast("int")
+    rows = parts.groupBy("bucket").agg(share.alias("share")).filter("share > 0").toArrow()  # at most CASE_BUCKETS rows
+    table = np.zeros(CASE_BUCKETS, dtype=np.uint8)
+    table[rows.column("bucket").to_numpy()] = rows.column("share").to_numpy().astype(np.uint8)
+    return table.tobytes()
+
+
+def find_candidates(documents: DataFrame, id_col: str, text_col: str, given: list[str], family: list[str], makers: Makers, case: bytes | None = None) -> DataFrame:
     """(id_col, candidates): one row for each text that has any candidate."""
     kind = dict(documents.dtypes)[id_col]
     shape = pa.list_(
         pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
     )
 
+    shared = documents.sparkSession.sparkContext.broadcast((given, family, makers.names, case))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labelers = Labelers(given, family, makers.names)
+        labelers = Labelers(*shared.value)
         for batch in batches:
             rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -81,63 +113,74 @@ def label_model(counts: dict[str, int], rounds: int = 80) -> dict[str, float]:
     return dict(zip(patterns, post.tolist()))
 
 
-def train_classifier(features: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights of a logistic regression over hashed features, fitted to soft labels by Adagrad in a fixed order."""
-    weights, squares = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2)
+def train_classifier(features: list[list[int]], labels: np.ndarray, sure: np.ndarray | None = None, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
+    """Weights of a logistic regression over hashed features (KINDS * DIMENSIONS of them), fitted to soft labels by
+    Adagrad in small batches of a fixed order; ``sure`` is the weight of each row."""
+    size = len(KINDS) * DIMENSIONS
+    weights, squares = np.zeros(size + 1), np.full(size + 1, 1e-2)  # the last place stands for no feature
+    if not len(labels):
+        return weights[:size]
+    rows = np.full((len(features), max(map(len, features))), size, dtype=np.int64)
+    for i, f in enumerate(features):
+        rows[i, : len(f)] = f
+    sure = np.ones(len(labels)) if sure is None else sure
     rng = np.random.default_rng(seed)
-    rows = [np.unique(np.array(f, dtype=np.int64)) for f in features]
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            f = rows[i]
-            p = 1 / (1 + np.exp(-max(-30.0, min(30.0, weights[f].sum()))))
-            g = p - labels[i] + 1e-4 * weights[f]
-            squares[f] += g * g
-            weights[f] -= 0.25 * g / np.sqrt(squares[f])
-    return weights
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            f = rows[pick]
+            p = 1 / (1 + np.exp(-np.clip(weights[f].sum(axis=1), -30, 30)))
+            used, where = np.unique(f, return_inverse=True)
+            g = np.bincount(where.ravel(), np.repeat((p - labels[pick]) * sure[pick], f.shape[1]), len(used)) + 1e-4 * weights[used]
+            squares[used] += g * g
+            weights[used] -= 0.25 * g / np.sqrt(squares[used])
+            weights[size] = 0.0
+    return weights[:size]
 
 
 def find_pii(documents: DataFrame, names: DataFrame, makers: Makers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, pii_kind, start_char, end_char): every place of personal information, each once; characters are code
     points.  Null, empty and blank texts have none.  A document given twice has its places once."""
-    listed = names.select("name_text", "name_kind").limit(MOST_NAMES + 1).collect()
-    if len(listed) > MOST_NAMES:
-        raise ValueError(f"name_list has more than {MOST_NAMES} rows")
-    clean = [(r["name_text"].strip().lower(), r["name_kind"]) for r in listed if r["name_text"]]
-    given, family = ([w for w, k in clean if k == kind] for kind in ("given", "family"))
+    listed = names.select(F.lower(F.trim("name_text")).alias("word"), "name_kind").filter("word <> ''").distinct().collect()
+    given, family = ([r["word"] for r in listed if r["name_kind"] == kind] for kind in ("given", "family"))
     ws = Workspace(documents.sparkSession, "pii")
-    spans = ws.save(find_candidates(documents, id_col, text_col, given, family, makers), "candidates")
+    spans = ws.save(find_candidates(documents, id_col, text_col, given, family, makers, word_case(documents, text_col)), "candidates")
     flat = spans.select(id_col, F.explode("candidates").alias("c")).select(id_col, "c.*")
     counted: dict[int, dict[str, int]] = {k: {} for k in range(len(KINDS))}
     for r in flat.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect():
         counted[r["kind"]][r["votes"]] = r["n"]
     models = [label_model(counted[k]) for k in range(len(KINDS))]
-    weights = []
-    for k, model in enumerate(models):
-        sample = (
-            flat.filter(F.col("kind") == k)
-            .orderBy(F.xxhash64(id_col, "start", "stop"), id_col, "start", "stop")
-            .select("votes", "features")
-            .limit(TRAIN_ROWS)
-            .collect()
-        )
-        weights.append(train_classifier([r["features"] for r in sample], np.array([model[r["votes"]] for r in sample])).astype(np.float32))
+    order = Window.partitionBy("kind").orderBy(F.xxhash64(id_col, "start", "stop"), id_col, "start", "stop")
+    sample = flat.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= TRAIN_ROWS).select("kind", "votes", "features").collect()
+    sample.sort(key=lambda r: (r["kind"], r["votes"], r["features"]))
+    labels = np.array([models[r["kind"]][r["votes"]] for r in sample])
+    told = np.array([r["votes"].strip("0") != "" for r in sample], dtype=float)  # of which no labeler says anything teach nothing
+    weights = train_classifier([r["features"] for r in sample], labels, told * np.abs(2 * labels - 1)).astype(np.float32)
     shared = documents.sparkSession.sparkContext.broadcast(weights)  # fixed size: DIMENSIONS floats a kind
     kind = dict(documents.dtypes)[id_col]
+    least = np.log(THRESHOLD / (1 - THRESHOLD))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(1)
+            own = lists.flatten()
+            features = own.field("features")
+            ends = np.append(features.offsets.to_numpy(), 0)[: len(own) + 1] - features.offsets[0].as_py() if len(own) else np.zeros(1, np.int64)
             rows, kinds, starts, stops = [], [], [], []
-            for i, own in enumerate(batch.column(1).to_pylist()):
-                scored = []
-                for c in own:
-                    z = float(shared.value[c["kind"]][np.unique(c["features"])].sum())
-                    if z >= np.log(THRESHOLD / (1 - THRESHOLD)):
-                        scored.append((z, c["kind"], c["start"], c["stop"]))
-                for k, a, b in settle(scored):
-                    rows.append(i)
-                    kinds.append(KINDS[k])
-                    starts.append(a)
-                    stops.append(b)
+            if len(own):
+                z = np.add.reduceat(shared.value[features.flatten().to_numpy()], ends[:-1])  # every candidate has a feature
+                where, start, stop = (own.field(c).to_numpy() for c in ("kind", "start", "stop"))
+                of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                taken: dict[int, list[tuple[float, int, int, int]]] = {}
+                for i in np.flatnonzero(z >= least).tolist():
+                    taken.setdefault(int(of[i]), []).append((float(z[i]), int(where[i]), int(start[i]), int(stop[i])))
+                for i, scored in taken.items():
+                    for k, a, b in settle(scored):
+                        rows.append(i)
+                        kinds.append(KINDS[k])
+                        starts.append(a)
+                        stops.append(b)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
                 names=[id_col, "pii_kind", "start_char", "end_char"],

@@ -15,6 +15,8 @@ KINDS = ["email", "phone", "id_number", "address", "name"]
 
 #: Hashed features of the span classifier; a power of two, so weights have a fixed size.
 DIMENSIONS = 1 << 16
+#: Share, of 255, of lower-case uses from which a word counts as ordinary.
+ORDINARY = 64
 
 
 class Candidate(NamedTuple):
@@ -55,48 +57,41 @@ ADDRESS_ES = re.compile(rf"(?<!\w)(?i:calle|c/|avenida|avda\.?|plaza|paseo|camin
 TITLES = {
     "mr", "mrs", "ms", "miss", "mx", "dr", "prof", "sr", "sra", "srta", "don", "doña", "señor", "señora", "herr", "frau", "mme", "mlle", "monsieur", "madame", "m",
 }
-#: Words that are no part of a name though they often stand before or after one, or begin a sentence.
+#: Function words of English, German, French and Spanish, days and months; none is part of a name.
 COMMON = set(
     """the a an and or of for to from in on at by with we they it this that these those there here no not if is are was were be been our your their his her its
-    ask bin box call case cases cash catalog cc client cliente contact cost counter credit customer dear deliver driver emailed fax fits fit freight
-    hello hi holder home inventory invoice item keep kunde left letter line lookup lot mail match monday tuesday wednesday thursday friday saturday sunday
-    january february march april may june july august september october november december new night nobody note order owner owners page parts per phone
-    please price qty reach read ref regards review rolling send ship shop signed sku someone spoke stock superseded supplier team tech thanks took top tow
-    update use vendor warranty weight whom yours sincerely best kind brand subject attn attention re bulletin notice apt ste unit suite
-    envoyer livrer voir commande cote prix demander lieferung rechnung bitte das der die ein eine schlüssel preis teil enviar escribir revisar quedan alguien
-    devolución el la los las le les un une una pièce
-    after before between when whenever suppose which what how why where would does every choose answer use given tel tél fax ssn dl social passport licence license pn price national id card""".split()
+    i he she you who what which when where why how would does do did can could should will may must has have had as but so than then also all any each every some
+    after before between during about over under into out up down off per via re please dear hello hi thanks thank regards sincerely best yours
+    monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december
+    der die das den dem des ein eine einen einem einer und oder nicht ist sind war für von zu zum zur mit bei auf aus nach wenn dass bitte
+    le la les l un une des du de et ou est sont pour avec sans dans sur à au aux en par que qui
+    el los las lo una unos unas y o es son para con sin sobre del al por se que""".split()
 )
-#: Words before a name, and after one, that tell that it is a person's.
+#: Words that announce a person, before the name, and words that follow one who is to be reached.
 BEFORE_NAME = set(
-    """customer driver client cliente kunde kundin per told with was holder contact yours thanks signed from for by owe demander nombre attn attention
-    hd left emailed dear sincerely regards tech z cc spoke asked hi hello /""".split()
+    """customer client cliente kunde kundin driver contact kontakt contacto attn attention dear signed sincerely regards thanks yours holder owner passenger patient
+    employee name nombre nom recipient hd""".split()
 )
-AFTER_NAME = set("call called signed came next wants picked said says account a is at tel tél ssn licence passport".split())
-NAME_AFTER = re.compile(
-    r"""\s*(?:,?\s*(?:call\b|tel\b|tél\b|fax\b|phone\b|left\s+a\s+number|night\s+counter|ssn|social|licence|license|driver'?s|dl\b|passport|national\s+id|id\s+card|picked\s+up)"""
-    r"""|'s\s+account|\s+the\s+pads|\s+signed\s+for|\s+came\s+by|\s+next\s+door|\s+at\s+the\s+body|\s+a\s+call|\s*[(<|]|\s+and\s+the\s+old|;\s*ask|,\s+the\s+rotor|\s*/\s*to:)""",
-    re.I,
-)
-NAME_BEFORE = re.compile(
-    r"(?<!\w)(?:customer|driver|client\s*:?|cliente|kunde|kundin|per|pickup\s+by|i\s+told|left\s+it\s+with|spoke\s+with|holder:|duty\s+was|we\s+owe|mark\s+it\s+for|demander|a\s+nombre\s+de|z\.\s*hd?\.(?:\s*v\.)?|from:|contact:|signed,|yours,|thanks,|regards,|attn:?|--|/|sincerely,)\s*$",
-    re.I,
-)
-THING_AFTER = re.compile(r"\s*(?:owners?\b|display|cartons?|is\s+out|list\b|brand\b|notice|stock\b|returns?\b|unless|kit\b|:\s+see|\d|-|,\s*sold|now\b|one\b|,\s*they\b|pn\b|\|\s*pn|bolts|,\s*so\b|for\s+the)", re.I)
-THING_BEFORE = re.compile(r"(?:\bfor|\bthe|\bfrom|\bon|\bto|\bgehört\s+jetzt\s+zu|\bde|\bvon|\bzum|\bel|\bau|\bbolts,|\bask|\bwith\s+a|\bfits|\bbrand:?|\d:?)\s*$", re.I)
-PHONE_BEFORE = re.compile(r"\b(?:phone|ph|tel|tél|telephone|teléfono|telefon|fax|call|cell|mobile|móvil|handy|reach|or|at|old|number)\b[.:]?\s*[(]?\s*$", re.I)
-PART_BEFORE = re.compile(r"(?:p/n|pn|part|no\.|nr\.?|n\.º|lot|ref|sku|order|invoice|code|código|batch|bin|bay|bulletin|vs|con|mezclar|by|par|teil|pièce|reads|says|think|check|against|as|and|\$|€|#)\s*[:#]?\s*$", re.I)
-PART_AFTER = re.compile(r"[  ]*(?:is\s+(?:the|a|out|on)\b|of\s+the|vs\b|when\s+the\b|against|but\b|are\b|as\s+of|con\b|mm\b|von\b|de\b|and\s+\w*\d)", re.I)
+NAME_BEFORE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(BEFORE_NAME, key=len, reverse=True))}|from:|--)\s*[:,.]?\s*$", re.I)
+NAME_AFTER = re.compile(r"\s*,?\s*(?:call\b|calls\b|called\b|tel\b|tél\b|fax\b|phone\b|mobile\b|cell\b|e-?mail\b|ssn\b|licen[cs]e\b|passport\b|dl\b|id\b|signed\b|said\b|says\b|wrote\b)", re.I)
+#: A number, a part or an article beside it tells that a capitalised phrase is a thing.
+THING_AFTER = re.compile(r"\s*(?:\d|[-–]|(?:brand|kit|list|stock|display|notice|pn|p/n)\b)", re.I)
+THING_BEFORE = re.compile(r"(?:\b(?:the|this|that|brand|fits|maker|make|model|der|die|das|le|la|les|el|los|las)|\d)\s*:?\s*$", re.I)
+PHONE_BEFORE = re.compile(r"\b(?:phone|ph|tel|tél|telephone|teléfono|telefon|téléphone|fax|call|cell|mobile|móvil|handy|reach)\b[.:]?\s*[(]?\s*$", re.I)
+PART_BEFORE = re.compile(r"(?:p/n|pn|part|parts|no\.|nr\.?|n\.º|lot|ref|sku|order|invoice|code|código|batch|bin|teil|pièce|pieza|item|serial|\$|€|#)\s*[:#]?\s*$", re.I)
+PART_AFTER = re.compile(r"[ \u00a0]*(?:mm|cm|kg|in|lb|ft|pcs|ea)\b|[ \u00a0]*[%$€]", re.I)
 ID_BEFORE = re.compile(
     r"(?:ssn|social(?:\s+security)?(?:\s+(?:number|no\.?))?|passport|reisepass|pasaporte|passeport|licen[cs]e|dl|national\s+id|id\s+card|identity\s+(?:card|no\.?)|ausweis|dni|nie|personalausweis)\s*(?:no\.?|number|nr\.?|n\.º|#)?\s*[:#]?\s*$",
     re.I,
 )
-ADDRESS_BEFORE = re.compile(r"(?:home|deliver\s+to|core\s+to|crate\s+at|ship\s+to|livrer\s+au|lieferung\s+an|enviar\s+a|lives\s+at|address:?|at|to|an|au|a)\s*$", re.I)
-ADDRESS_AFTER = re.compile(r"\s*\.?,?\s*(?:apt|ste|suite|unit|#\s?\d|no\.|[A-Z][\w ]+,\s*[A-Z]{2}\s+\d{5}|and\s+mark|before\s+noon|demander|z\.|bajo|\d+º|a\s+nombre)", re.I)
+ADDRESS_BEFORE = re.compile(r"(?:home|deliver\s+to|ship\s+to|lives\s+at|address:?|livrer\s+au|adresse:?|lieferung\s+an|enviar\s+a|dirección:?)\s*$", re.I)
+ADDRESS_AFTER = re.compile(r"\s*\.?,?\s*(?:apt|ste|suite|unit|#\s?\d|[A-Z][\w ]+,\s*[A-Z]{2}\s+\d{5}|\d{4,5}\s+[A-Z])", re.I)
+NO_ADDRESS_BEFORE = re.compile(r"(?:bin|page|bay|aisle|line|invoice|order|lot|no\.|ref|qty|\$|€|#)\s*$", re.I)
 
 _NAME_WORD = r"(?:[A-ZÀ-Þ][a-zà-ÿ]+(?:[A-Z][a-zà-ÿ]+)?|[A-Z]['’][A-ZÀ-Þ]?[a-zà-ÿ]+|[A-ZÀ-Þ]['’]?[A-ZÀ-Þ]{2,})(?:-[A-ZÀ-Þ][A-Za-zà-ÿ]+)?"
 _PIECE = re.compile(rf"(?<![\w@.+'’/-]){_NAME_WORD}(?![\w@]|[-.'’]\w*@)|(?<![\w@.'’-])[A-ZÀ-Þ]\.(?![\w.])|(?<=/){_NAME_WORD}(?!\w)")
 _GAP = re.compile(r"[ \u00a0]")
+_AROUND = re.compile(r"[^\W_]+|[^\w\s]")
 
 
 #: Patterns of addresses, and letters without which a text (in lower case) holds none.
@@ -106,20 +101,28 @@ _ADDRESSES = [
     ("fr", ADDRESS_FR, ("rue", "avenue", "boulevard", "impasse", "allée", "place", "chemin", "route", "quai", "cours", "square")),
     ("es", ADDRESS_ES, ("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "ronda", "travesía", "carretera")),
 ]
-_BRACKETED_AT = [b + gap + "at" for b in "[({<" for gap in ("", " ", "  ")]
+#: What every spelled-out address holds: the word dot, or an at after an opening bracket.
+_SPELLED_HINT = re.compile(r"dot|[\[({<]\s*at", re.I)
 
 
-def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & (DIMENSIONS - 1)
+def _shape(text: str) -> str:
+    return _LETTERS.sub("a", _CAPITALS.sub("A", _DIGITS.sub("9", text[:24])))
 
 
-def _shape(text: str) -> str:
-    out = []
-    for c in text:
-        s = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else " " if c.isspace() else c
-        if not out or out[-1] != s or s == "9":
-            out.append(s)
-    return "".join(out[:24])
+_DIGITS, _CAPITALS, _LETTERS = re.compile(r"\d"), re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[^\W\dA_]+")
+
+#: Buckets of the table of word case; a power of two, so what is broadcast has a fixed size (a byte each).
+CASE_BUCKETS = 1 << 20
+_CASED = re.compile(r"(?<![\w@.'’-])[^\W\d_]{2,}(?![\w@]|[.'’-]\w)")
+
+
+def word_bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (CASE_BUCKETS - 1)
+
+
+def cased_words(text: str) -> list[str]:
+    """The words of a text that stand free, in the case in which they stand."""
+    return _CASED.findall(text)
 
 
 def _shouting(line: str) -> bool:
@@ -129,12 +132,34 @@ def _shouting(line: str) -> bool:
 
 
 class Labelers:
-    """Finds candidates and votes.  given, family: the known names; makers: names of makers, all lower case."""
+    """Finds candidates and votes.  given, family: the known names; makers: names of makers, all lower case;
+    case: for each bucket of words how often, of 255, the corpus writes them in lower case (None: nothing known)."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str], makers: Iterable[str]):
+    def __init__(self, given: Iterable[str], family: Iterable[str], makers: Iterable[str], case: bytes | None = None):
         self.given, self.family = set(given), set(family)
         self.makers = {w for m in makers for w in re.findall(r"[\w]+", m) if len(w) > 3}
         self.full_makers = set(makers)
+        self.case = case
+        self.codes: dict[tuple, int] = {}
+        self.lower: dict[str, bool] = {}
+
+    def ordinary(self, word: str) -> bool:
+        """Whether the corpus often writes a word (given in lower case) in lower case: then it is hardly a name."""
+        known = self.lower.get(word)
+        if known is None:
+            if len(self.lower) > 200_000:
+                self.lower = {}
+            known = self.lower[word] = word in COMMON or (self.case is not None and self.case[word_bucket(word)] >= ORDINARY)
+        return known
+
+    def code(self, *what) -> int:
+        """The hashed number of a feature; remembered up to a bound."""
+        known = self.codes.get(what)
+        if known is None:
+            if len(self.codes) > 400_000:
+                self.codes = {}
+            known = self.codes[what] = what[0] * DIMENSIONS + (zlib.crc32("|".join(map(str, what)).encode("utf-8", "surrogatepass")) & (DIMENSIONS - 1))
+        return known
 
     # ---- one labeler list a kind; every vote is one character
 
@@ -148,7 +173,7 @@ class Labelers:
             + ("+" if spelled and re.search(r"[\[({<]", s) else "0")
             + ("+" if re.search(r"[A-Za-z]", local) else "-")
             + ("+" if top and len(top[1]) >= 2 else "-")
-            + ("+" if re.search(r"(?:mail|cc|to|at|use|an|à|a|;|<|\(|\|)\W*$", before) else "0")
+            + ("+" if re.search(r"(?:mail|cc|to|;|<|\(|\|)\W*$", before) else "0")
             + ("-" if spelled and not re.search(r"[\[({<]|\bdot\b", s, re.I) else "0")
         )
 
@@ -172,12 +197,10 @@ class Labelers:
         before, after = t[max(0, a - 32) : a], t[b : b + 24]
         return (
             ("+" if ID_BEFORE.search(before) else "0")
-            + ("+" if SSN.fullmatch(s) and s[0] == "9" else "0")
             + ("+" if re.fullmatch(r"[A-Z]\d{3}-\d{4}-\d{4}", s) else "0")
             + ("+" if re.fullmatch(r"\d{2}\.\d{3}\.\d{3}-[A-Z]", s) else "0")
             + ("-" if PART_BEFORE.search(before) and not ID_BEFORE.search(before) else "0")
             + ("-" if PART_AFTER.match(after) else "0")
-            + ("+" if re.match(r"\s*(?:on\s+the\s+credit|was\s+copied|,\s*picked|,\s*home)", after, re.I) else "0")
             + ("-" if not ID_BEFORE.search(before) and re.fullmatch(r"[A-Z]{1,2}\d{7}|\d{8}-?[A-Z]|\d{2}-\d{7}", s) else "0")
         )
 
@@ -192,14 +215,13 @@ class Labelers:
             + ("+" if ADDRESS_BEFORE.search(before) else "0")
             + ("+" if ADDRESS_AFTER.match(after) else "0")
             + ("-" if any(" ".join(words[i:]) in self.full_makers for i in range(len(words))) else "0")
-            + ("-" if re.search(r"(?:stock|bin|page|bay|aisle|sheet|line|invoice|no\.|ref|shop|took|of)\s*$", before, re.I) else "0")
+            + ("-" if NO_ADDRESS_BEFORE.search(before) else "0")
             + ("-" if number and len(number[0]) > 5 else "0")
         )
 
     def _name(self, t: str, a: int, b: int, words: list[str], titled: bool, inverted: bool, line: tuple[int, int], continued: bool, near_contact: bool, in_address: bool) -> str:
         before, after = t[max(line[0], a - 40) : a], t[b : min(line[1], b + 32)]
         low = [w.lower() for w in words]
-        initial = [w.endswith(".") for w in words]
         given, family = (low[-1], low[0]) if inverted else (low[0], low[-1])
         alone = re.fullmatch(r"[\s>*•#/–—-]*(?:thanks|thank you|regards|best|yours|signed|cheers)?[,:\s/-]*", before, re.I) and re.fullmatch(r"[\s.,]*", after)
         return (
@@ -210,12 +232,11 @@ class Labelers:
             + ("+" if NAME_AFTER.match(after) else "0")
             + ("+" if alone and not titled else "0")
             + ("+" if near_contact else "0")
-            + ("-" if any(w in COMMON or w in TITLES for w in low) else "0")
+            + ("-" if any(w in TITLES or self.ordinary(w) for w in low) else "0")
             + ("-" if any(w in self.makers for w in low) else "0")
             + ("-" if THING_AFTER.match(after) and not titled else "0")
             + ("-" if THING_BEFORE.search(before) and not titled and not NAME_BEFORE.search(before) else "0")
             + ("-" if in_address else "0")
-            + ("-" if any(initial) and not titled and family not in self.family else "0")
             + ("-" if continued else "0")
             + ("-" if t[a:b].isupper() and _shouting(t[line[0] : line[1]]) and given not in self.given and family not in self.family else "0")
             + ("-" if family in self.given or (given in self.family and not titled) else "0")
@@ -224,20 +245,28 @@ class Labelers:
     # ---- features of the span classifier
 
     def _features(self, kind: int, t: str, a: int, b: int, votes: str, words: list[str], line: tuple[int, int]) -> list[int]:
-        before = re.findall(r"[^\W_]+|[^\w\s]", t[max(line[0], a - 40) : a].lower())
-        after = re.findall(r"[^\W_]+|[^\w\s]", t[b : min(line[1], b + 40)].lower())
-        prev = before[-1] if before else "^"
-        nxt = after[0] if after else "$"
-        s = t[a:b]
-        out = [f"v{i}{v}" for i, v in enumerate(votes) if v != "0"]
-        out += [f"p{prev}", f"n{nxt}", f"pp{before[-2] if len(before) > 1 else '^'}_{prev}", f"nn{nxt}_{after[1] if len(after) > 1 else '$'}"]
-        out += [f"s{_shape(s)}", f"k{len(words)}", "bias"]
+        """What the span classifier sees: votes, the words around the span singly, in pairs and in threes, its shape, and
+        for names the words themselves with their ends."""
+        before = _AROUND.findall(t[max(line[0], a - 48) : a].lower())[-3:]
+        after = _AROUND.findall(t[b : min(line[1], b + 48)].lower())[:3]
+        while len(before) < 3:
+            before.insert(0, "^")
+        while len(after) < 3:
+            after.append("$")
+        code = self.code
+        out = {code(kind, "v", i, v) for i, v in enumerate(votes) if v != "0"}
+        out |= {
+            code(kind, "p", before[2]), code(kind, "n", after[0]), code(kind, "pp", before[1], before[2]), code(kind, "nn", after[0], after[1]),
+            code(kind, "ppp", *before), code(kind, "nnn", *after), code(kind, "pn", before[2], after[0]), code(kind, "k", len(words)), code(kind, "bias"),
+        }
         if kind == 4:
             for i, w in enumerate(words):
-                w = w.lower()
+                low = w.lower()
                 place = "f" if i == 0 else "l" if i == len(words) - 1 else "m"
-                out += [f"w{place}{w}", f"x{place}{w[-3:]}", f"y{place}{w[:3]}", f"W{w}"]
-        return [_hash(f"{kind}|{x}") for x in out]
+                out |= {code(kind, "w", place, low), code(kind, "x", place, low[-3:]), code(kind, "W", low), code(kind, "c", place, self.case[word_bucket(low)] // 32 if self.case is not None else -1)}
+        else:
+            out.add(code(kind, "s", _shape(t[a:b])))
+        return sorted(out)
 
     # ---- all candidates of a text
 
@@ -259,7 +288,7 @@ class Labelers:
                 contacts.append(m.span())
                 add(0, *m.span(), self._email(t, *m.span(), False), [], line_of(m.start()))
         low = t.lower()
-        if " dot " in low or any(x in low for x in _BRACKETED_AT):
+        if "at" in low and _SPELLED_HINT.search(low):
             for m in EMAIL_SPELLED.finditer(t):
                 contacts.append(m.span())
                 add(0, *m.span(), self._email(t, *m.span(), True), [], line_of(m.start()))
@@ -312,7 +341,7 @@ class Labelers:
             for piece, titled in spans:
                 i = run.index(piece[0])
                 left = run[i - 1][0].lower() if i else ""
-                continued = bool(left) and left not in COMMON and left.rstrip(".") not in TITLES and left not in self.makers
+                continued = bool(left) and not self.ordinary(left) and left.rstrip(".") not in TITLES and left not in self.makers
                 self._add_name(t, piece, titled, False, continued, contacts, streets, line_of, add)
             if followed:
                 both = [run[-1], runs[k + 1][0]]
@@ -320,7 +349,7 @@ class Labelers:
                 a, b = both[0].start(), both[1].end()
                 told = NAME_BEFORE.search(t[max(0, a - 40) : a]) or NAME_AFTER.match(t[b : b + 32])
                 if told or second in self.given or both[0][0].lower() in self.family or second.endswith("."):
-                    self._add_name(t, both, False, True, len(run) > 1 and run[-2][0].lower() not in COMMON, contacts, streets, line_of, add)
+                    self._add_name(t, both, False, True, len(run) > 1 and not self.ordinary(run[-2][0].lower()), contacts, streets, line_of, add)
 
     def _add_name(self, t, piece, titled, inverted, continued, contacts, streets, line_of, add) -> None:
         a, b = piece[0].start(), piece[-1].end()
