@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from partweave.functions.similarity import edit_similarity, exact_confidence, fuzzy_confidence, number_similarity, trigram_similarity
 from partweave.functions.text import long_words, norm_canonical, norm_join, norm_lower, norm_score, norm_stored, number_variants
 from partweave.operators.simjoin import trigram_join
+from partweave.operators.skew import HOT_LEAST, split_join
 from partweave.session import Workspace
 
 #: Least description similarity of an exact match, and least similarities of a fuzzy one.
@@ -49,10 +50,10 @@ def exact_pairs(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
     return s.join(u, ["project_id", "norm"]).withColumn("text_similarity", trigram_similarity(F.col("store_text"), F.col("supplier_text")))
 
 
-def alike_pairs(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
+def alike_pairs(stores: DataFrame, suppliers: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """Pairs whose numbers are equal as in exact_pairs or share three characters in a row, the supplier's by its number
     or its maker's number, with the similarity of their descriptions.  A pair counts only where it meets in the first
-    key it shares, so it comes once."""
+    key it shares, so it comes once; runs that very many numbers hold are cut into cells."""
 
     def runs(c: str) -> Column:
         n = norm_score(F.col(c))
@@ -62,7 +63,7 @@ def alike_pairs(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
     marked = lambda c: F.transform(equal(c), lambda w: F.concat(F.lit("="), w))
     s = _store(stores).withColumn("x", F.array_distinct(F.concat(marked("store_number"), runs("store_number"))))
     u = _supplier(suppliers).withColumn("y", F.array_distinct(F.concat(marked("supplier_number"), runs("supplier_number"), runs("supplier_mfr"))))
-    met = s.withColumn("key", F.explode("x")).join(u.withColumn("key", F.explode("y")), ["project_id", "key"])
+    met = split_join(s.withColumn("key", F.explode("x")), u.withColumn("key", F.explode("y")), ["project_id", "key"], "store_id", "supplier_id", hot_least)
     first = met.filter(F.get(F.array_intersect("x", "y"), F.lit(0)) == F.col("key")).drop("x", "y", "key")
     return first.withColumn("text_similarity", trigram_similarity(F.col("store_text"), F.col("supplier_text")))
 

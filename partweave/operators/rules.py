@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from partweave.functions.text import norm_canonical, norm_stored, punctuation_signature
 from partweave.operators.matching import first_by, once
+from partweave.operators.skew import HOT_LEAST, heavy_keys, join_unique
 
 
 def newest(candidates: DataFrame, *columns: str) -> DataFrame:
@@ -18,6 +19,13 @@ def newest(candidates: DataFrame, *columns: str) -> DataFrame:
     return best.select("id", *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
+def join_items(candidates: DataFrame, items: DataFrame, key: str, how: str = "left", least: int = HOT_LEAST) -> DataFrame:
+    """``candidates`` joined with ``items``, which has one row for each ``key``; a row that a large share of the
+    candidates belongs to is met by broadcast where they lie."""
+    hot, _ = heavy_keys(candidates, F.col(key), least)
+    return join_unique(candidates, items, key, None if hot is None else hot.select(F.col("_h").alias(key)), how)
+
+
 def _numbers(stores: DataFrame, suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = once(stores).select("project_id", F.col("id").alias("store_id"), norm_canonical(F.col("part_number")).alias("store_key")).filter("store_key <> ''")
     u = once(suppliers).select("project_id", F.col("id").alias("supplier_id"), norm_canonical(F.col("part_number")).alias("supplier_key")).filter("supplier_key <> ''")
@@ -48,8 +56,8 @@ def blocked_candidates(stores: DataFrame, suppliers: DataFrame, rules: DataFrame
     blocked, not only one."""
     s, u = _numbers(stores, suppliers)
     r = _rules(rules, "NEGATIVE_BLOCK")
-    c = newest(candidates, "store_item_id", "target_id")
-    full = c.join(s, F.col("store_item_id") == F.col("store_id")).join(u.drop("project_id"), F.col("target_id") == F.col("supplier_id"))
+    c = newest(candidates, "store_item_id", "target_id").withColumnsRenamed({"store_item_id": "store_id", "target_id": "supplier_id"})
+    full = join_items(join_items(c, s, "store_id", "inner"), u.drop("project_id"), "supplier_id", "inner")
     met = full.join(r, ["store_key", "supplier_key"]).filter("rule_project is null or rule_project = project_id")
     return met.groupBy("id").agg(F.min("rule_id").alias("rule_id"))
 
@@ -58,7 +66,8 @@ def learned_rules(stores: DataFrame, suppliers: DataFrame, rules: DataFrame, can
     """(rule_type, store_key, supplier_key, decisions): rules that decisions teach and that no enabled rule states."""
     s, u = _numbers(stores, suppliers)
     c = newest(candidates, "store_item_id", "target_id", "status").filter(F.col("status").isin("CONFIRMED", "REJECTED"))
-    full = c.join(s, F.col("store_item_id") == F.col("store_id")).join(u.drop("project_id"), F.col("target_id") == F.col("supplier_id"))
+    c = c.withColumnsRenamed({"store_item_id": "store_id", "target_id": "supplier_id"})
+    full = join_items(join_items(c, s, "store_id", "inner"), u.drop("project_id"), "supplier_id", "inner")
     kind = F.when(F.col("status") == "CONFIRMED", "POSITIVE_MAP").otherwise("NEGATIVE_BLOCK")
     told = full.groupBy(kind.alias("rule_type"), "store_key", "supplier_key").agg(F.count("*").alias("decisions"))
     known = _rules(rules, "POSITIVE_MAP").withColumn("rule_type", F.lit("POSITIVE_MAP")).unionByName(_rules(rules, "NEGATIVE_BLOCK").withColumn("rule_type", F.lit("NEGATIVE_BLOCK")))

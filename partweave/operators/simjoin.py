@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from partweave.functions.similarity import cosine, trigrams
+from partweave.operators.skew import HOT_LEAST, split_join
+from partweave.session import Workspace
 
 
 def _codes(text: Column) -> Column:
@@ -15,14 +17,15 @@ def _codes(text: Column) -> Column:
     return F.transform(trigrams(text), lambda g: code(g, 1) * 65536 + code(g, 2) * 256 + code(g, 3))
 
 
-def trigram_join(left: DataFrame, right: DataFrame, scope: str, id_left: str, id_right: str, text_left: Column, text_right: Column, least: float) -> DataFrame:
+def trigram_join(left: DataFrame, right: DataFrame, scope: str, id_left: str, id_right: str, text_left: Column, text_right: Column, least: float, hot_least: int = HOT_LEAST) -> DataFrame:
     """(scope, id_left, id_right, similarity): pairs of one scope whose texts have a trigram similarity of ``least``
     or more (``least`` > 0).
 
     Prefix filter: with each text's trigrams in a fixed order, rarest first, two texts that are similar enough share
     one among the first n - ceil(least * n) + 1 of each.  Only those are joined, pairs of too different sizes are
     dropped, and the rest is verified on the whole sets; no pair is lost.  A pair counts only where it meets in the
-    first trigram it shares, so it comes once without another shuffle."""
+    first trigram it shares, so it comes once without another shuffle.  A trigram that is frequent even among the rare
+    ones is cut into cells (split_join)."""
     a = left.select(F.col(scope).alias("scope"), F.col(id_left).alias("a"), _codes(text_left).alias("x")).filter(F.size("x") > 0)
     b = right.select(F.col(scope).alias("scope"), F.col(id_right).alias("b"), _codes(text_right).alias("y")).filter(F.size("y") > 0)
     counts = (
@@ -36,7 +39,8 @@ def trigram_join(left: DataFrame, right: DataFrame, scope: str, id_left: str, id
         first = F.slice("o", F.lit(1), n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)
         return order.select("scope", key, F.transform("o", lambda s: s["g"]).alias(grams), F.explode(F.transform(first, lambda s: s["g"])).alias("g"))
 
-    met = prefixes(a, "a", "x").join(prefixes(b, "b", "y"), ["scope", "g"])
+    ws = Workspace(left.sparkSession, "trigrams")
+    met = split_join(ws.save(prefixes(a, "a", "x"), "left"), ws.save(prefixes(b, "b", "y"), "right"), ["scope", "g"], "a", "b", hot_least)
     sizes = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
     shared = met.filter(sizes).withColumn("z", F.array_intersect("x", "y"))
     first_meeting = shared.filter(F.get("z", F.lit(0)) == F.col("g"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partweave.functions.text import digit_core, norm_canonical, norm_stored
 from partweave.operators.matching import first_by, once
 from partweave.operators.rules import line_code_map, newest
+from partweave.operators.skew import split_join
 from partweave.plans.reports import _LINES, _newest
 from partweave.plans.sqltext import sql_canonical, sql_stored
 from partweave.sources.tables import table
@@ -20,7 +21,7 @@ def core_containment(spark: SparkSession, folder: str) -> DataFrame:
     u = once(table(spark, folder, "supplier_items")).select("project_id", F.col("id").alias("supplier_id"), norm_stored(F.col("part_number")).alias("norm")).filter("length(norm) >= 6")
     pieces = F.transform(F.sequence(F.lit(1), F.length("norm") - 5), lambda i: F.substring("norm", i, F.lit(6)))
     u = u.withColumn("key", F.explode(F.array_distinct(pieces)))
-    met = s.withColumn("key", F.substring("core", 1, 6)).join(u, ["project_id", "key"]).filter(F.contains("norm", "core"))
+    met = split_join(s.withColumn("key", F.substring("core", 1, 6)), u, ["project_id", "key"], "store_id", "supplier_id").filter(F.contains("norm", "core"))
     return first_by(met, ["store_id"], [F.length("norm"), F.col("supplier_id")]).select("project_id", "store_id", "supplier_id", "core")
 
 

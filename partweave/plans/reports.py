@@ -118,7 +118,7 @@ def _export(spark: SparkSession, folder: str) -> DataFrame:
     c = _c(spark, folder, "project_id", "store_item_id", "target_type", "target_id", "method", "confidence", "status")
     s = once(table(spark, folder, "store_items")).select(F.col("id").alias("store_item_id"), F.col("part_number").alias("store_number"), F.col("description").alias("store_text"))
     u = once(table(spark, folder, "supplier_items")).select(F.col("id").alias("target_id"), F.col("part_number").alias("target_number"), F.col("supplier").alias("supplier"))
-    full = c.join(s, "store_item_id", "left").join(u, "target_id", "left")
+    full = r.join_items(r.join_items(c, s, "store_item_id"), u, "target_id")
     return full.withColumn("status_order", F.array_position(F.lit(STATUS_ORDER), F.col("status")).cast("int"))
 
 
