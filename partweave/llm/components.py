@@ -5,11 +5,15 @@ hash order drawn afresh for the round; edges are relabelled by the hooks, loops
 rounds go on until no edge is left.  The hooks of all rounds are then expanded backwards.  The expected number of
 vertices falls by a constant factor each round whatever the shape of the graph, so long chains and large stars
 take O(log n) rounds.  Nothing is collected: a round is one aggregation combined before the shuffle and two joins
-whose hot vertices are joined by broadcast (at most 2 * HOT_SHARE rows, as degrees add up to twice the edges).
+whose hot vertices are joined by broadcast (at most 2 * HOT_SHARE rows, as degrees add up to twice the edges).  Once
+no more than LAST_EDGES edges are left, whatever the size of the graph was, one task hooks what remains.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,28 @@ from partweave.session import Workspace
 
 #: Rounds whose hooks are expanded in one job.
 EXPANDED_AT_ONCE = 4
+#: So few edges are hooked in one task instead of by rounds, each of which takes longer than they do.
+LAST_EDGES = 10_000
+
+
+def _last_hooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, rep) of all vertices of a small graph given as edges (a, b)."""
+    up: dict = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(v) for v in nodes], kind)], names=["v", "rep"])
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -41,6 +67,12 @@ def connected_components(edges: DataFrame, a: str, b: str, seed: int = 0) -> Dat
     sizes: list[int] = []
     while total:
         r = len(hooks)
+        if total <= LAST_EDGES:
+            kind = dict(current.dtypes)["a"]
+            hook, vertices = ws.save_counted(current.select("a", "b").repartition(1).mapInArrow(_last_hooks, f"v {kind}, rep {kind}"), f"hooks{r}")
+            hooks.append(hook)
+            sizes.append(vertices)
+            break
         order = lambda v: F.struct(F.xxhash64(v, F.lit(seed + 7919 * (r + 1))).alias("h"), v.alias("v"))
         both = current.select(
             F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")

@@ -1,12 +1,13 @@
 """Store rows and supplier rows that are the same part, without a common key (problem 1).
 
-Method: probabilistic record linkage.  Each row is read into part number key, maker, kind, build, position and two
+Method: probabilistic record linkage.  Each row is read into part number keys, maker, kind, build, position and two
 measures.  Candidate pairs come from several blocking passes within a project: equal number keys (also a number the
 supplier says it replaces), equal characters of the number in another order with the same maker and kind, and equal
 maker, kind and measures.  Every pair gets an agreement level for each attribute, where a silent side is a level that
-weighs nothing.  Expectation-maximisation over the counts of the level patterns estimates how often matches and
-non-matches agree; a pattern's posterior is the confidence of its pairs.  A check follows: a stated contradiction
-rules a pair out, and a number that several makers' parts bear needs further agreement.
+weighs nothing and an equal number that parts of several makers or kinds bear is a level of its own.
+Expectation-maximisation over the counts of the level patterns estimates how often matches and non-matches agree; a
+pattern's posterior is the confidence of its pairs and decides.  One exact check follows: a pair in which the rows state
+different things of an attribute is not the same part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.makers import Makers, read_makers
-from partweave.llm.partspec import KINDS, POSITIONS, Reader, clean
+from partweave.llm.partspec import KINDS, POSITIONS, Reader, clean, kind_code, learned_noise
+from partweave.operators.skew import HOT_LEAST, split_join
 from partweave.session import Workspace, spread
 
 #: Characters that look alike in keyed numbers.
@@ -32,40 +34,47 @@ THRESHOLD = 0.5
 ROUNDS = 60
 
 
-def number_key(number: str | None, code: str | None, makers: Makers) -> str | None:
-    """One spelling for a part number: without punctuation, packing suffixes, a line code before it and leading
-    zeros, look-alike characters made equal.  Null if fewer than four characters or no digit is left."""
+def number_keys(number: str | None, code: str | None, makers: Makers) -> list[str]:
+    """Spellings under which a part number may be found, the barest first: without punctuation and leading zeros,
+    look-alike characters made equal, and with or without what looks like a packing suffix and like a line code before
+    it.  Whether an ending or a beginning belongs to the number cannot be seen, so both readings are kept.  A spelling
+    with fewer than four characters or no digit is none."""
     if not number:
-        return None
+        return []
     s = _PREFIX.sub("", number.upper()).strip()
     shorter = _SUFFIX.sub("", s)
-    if sum(map(str.isdigit, shorter)) >= 4:
-        s = shorter
-    key = clean(s)
-    head = key[:3]
     own = (code or "").strip().upper()
-    if own and key.startswith(own) and len(key) - len(own) >= 6:
-        key = key[len(own) :]
-    elif (head in makers.store or head in makers.supplier) and len(key) >= 9:
-        key = key[3:]
-    if not any(map(str.isdigit, key)):
-        return None
-    key = key.translate(ALIKE).lstrip("0")
-    return key if len(key) >= 4 else None
+    found: list[str] = []
+    for text in (shorter, s) if shorter != s and sum(map(str.isdigit, shorter)) >= 4 else (s,):
+        key = clean(text)
+        bare = key
+        if own and key.startswith(own) and len(key) - len(own) >= 6:
+            bare = key[len(own) :]
+        elif (key[:3] in makers.store or key[:3] in makers.supplier) and len(key) >= 9:
+            bare = key[3:]
+        for k in (bare, key):
+            k = k.translate(ALIKE).lstrip("0") if any(map(str.isdigit, k)) else ""
+            if len(k) >= 4 and k not in found:
+                found.append(k)
+    return found
+
+
+def number_key(number: str | None, code: str | None, makers: Makers) -> str | None:
+    """The barest spelling of a part number, or None."""
+    return next(iter(number_keys(number, code, makers)), None)
 
 
-_KIND_CODES = {k: i for i, k in enumerate(KINDS)}
 _BUILD_CODES = {(k, b): i for k, spec in KINDS.items() for i, b in enumerate(spec.builds)}
 _POSITION_CODES = {p: i for i, p in enumerate(POSITIONS)}
 
 #: Attributes that are compared, besides the number.
 ATTRIBUTES = ["maker", "kind", "build", "position", "first", "second"]
-_PARSED = "id string, project_id string, code string, number string, refs array<string>, " + ", ".join(f"{a} int" for a in ATTRIBUTES)
+_PARSED = "id string, project_id string, code string, number string, numbers array<string>, refs array<string>, " + ", ".join(f"{a} int" for a in ATTRIBUTES)
 #: A line code that no mapping has is a maker's if at least so many rows name their maker, in so large a share the same.
 LEARNED_ROWS, LEARNED_SHARE = 3, 0.9
 
 
-def read_rows(rows: DataFrame, makers: Makers, supplier: bool) -> DataFrame:
+def read_rows(rows: DataFrame, makers: Makers, supplier: bool, noise: list[str] = ()) -> DataFrame:
     """_PARSED of rows with id, project_id, part_number, line_code and description (and, if there, brand or
     manufacturer_name); attributes as small codes.  The maker is the one the description names, else the line code's by
     the mappings, else the brand.  A row without id or project can be in no pair and is left out."""
@@ -74,28 +83,29 @@ def read_rows(rows: DataFrame, makers: Makers, supplier: bool) -> DataFrame:
     brands = [F.nullif(F.lower(F.trim(c)), F.lit("")) for c in ("brand", "manufacturer_name") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(makers.names)
+        reader = Reader(makers.names, noise)
         for batch in batches:
-            lines, numbers, refs = [], [], []
+            lines, numbers, spellings, refs = [], [], [], []
             coded: list[list[int | None]] = [[] for _ in ATTRIBUTES]
             for number, code, text, brand in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5))):
                 spec = reader.read(text)
                 code = (code or "").strip().upper() or None
-                key = number_key(number, code, makers)
+                keys = number_keys(number, code, makers)
                 maker = spec.maker or codes.get(code) or brand
                 lines.append(code)
-                numbers.append(key)
-                refs.append([r for x in spec.replaces if (r := x.translate(ALIKE).lstrip("0")) and r != key])
+                numbers.append(keys[0] if keys else None)
+                spellings.append(keys)
+                refs.append([r for x in spec.replaces if (r := x.translate(ALIKE).lstrip("0")) and r not in keys])
                 coded[0].append(maker_codes.get(maker))
-                coded[1].append(_KIND_CODES.get(spec.kind))
+                coded[1].append(kind_code(spec.kind))
                 coded[2].append(_BUILD_CODES.get((spec.kind, spec.build)))
                 coded[3].append(_POSITION_CODES.get(spec.position))
                 coded[4].append(spec.first)
                 coded[5].append(spec.second)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lines, pa.string()), pa.array(numbers, pa.string()), pa.array(refs, pa.list_(pa.string()))]
+                [batch.column(0), batch.column(1), pa.array(lines, pa.string()), pa.array(numbers, pa.string()), pa.array(spellings, pa.list_(pa.string())), pa.array(refs, pa.list_(pa.string()))]
                 + [pa.array(c, pa.int32()) for c in coded],
-                names=["id", "project_id", "code", "number", "refs", *ATTRIBUTES],
+                names=["id", "project_id", "code", "number", "numbers", "refs", *ATTRIBUTES],
             )
 
     told = rows.select("id", "project_id", "part_number", "line_code", "description", (F.coalesce(*brands) if brands else F.lit(None).cast("string")).alias("said"))
@@ -119,15 +129,33 @@ def with_blocks(rows: DataFrame) -> DataFrame:
     known = F.col("maker").isNotNull() & F.col("kind").isNotNull()
     letters = F.array_join(F.array_sort(F.split("number", "")), "")
     own = F.array(
-        F.when(F.col("number").isNotNull(), key(F.lit("n"), F.col("number"))),
         F.when(F.col("number").isNotNull() & known, key(F.lit("c"), letters, F.col("maker"), F.col("kind"))),
         F.when(known & F.col("first").isNotNull() & F.col("second").isNotNull(), key(F.lit("s"), *[F.col(x) for x in ("maker", "kind", "first", "second")])),
     )
-    return rows.withColumn("blocks", F.array_compact(F.concat(own, F.transform("refs", lambda r: key(F.lit("n"), r)))))
+    by_number = F.transform(F.concat("numbers", "refs"), lambda r: key(F.lit("n"), r))
+    return rows.withColumn("blocks", F.array_distinct(F.array_compact(F.concat(by_number, own))))
+
+
+def with_bearers(rows: DataFrame, both: DataFrame) -> DataFrame:
+    """``rows`` with ``shared``, whether parts of several makers or kinds among ``both`` bear the row's number, and
+    ``shared_kinds``, the kinds of which several makers' parts do.  Only distinct makers and kinds of a number are
+    gathered, before the shuffle, so a number that very many rows bear is no matter."""
+    told = both.filter("number is not null").groupBy("project_id", "number").agg(F.collect_set(F.struct(F.col("maker").alias("m"), F.col("kind").alias("k"))).alias("z"))
+    several = lambda x: F.size(F.array_distinct(F.array_compact(x))) > 1
+    kinds = F.array_distinct(F.array_compact(F.transform("z", lambda z: z["k"])))
+    of = lambda k: F.transform(F.filter("z", lambda z: z["k"] == k), lambda z: z["m"])
+    marked = told.select(
+        "project_id", "number", (several(F.transform("z", lambda z: z["m"])) | several(F.transform("z", lambda z: z["k"]))).alias("shared"), F.filter(kinds, lambda k: several(of(k))).alias("shared_kinds")
+    )
+    return rows.join(marked.filter("shared"), ["project_id", "number"], "left")
 
 
-#: Levels: 0 silent, 1 agreement, 2 contradiction; for the number 1 equal, 2 said to be replaced, 3 same characters, 4 other.
-NUMBER_LEVELS = 5
+#: Edits between numbers of which two neighbouring characters changed places.
+SWAPPED_EDITS = 2
+#: Levels: 0 silent, 1 agreement, 2 contradiction; for the number 1 equal, 2 said to be replaced, 3 two characters
+#: changed places, 4 other, 5 equal but parts of other kinds or makers bear it too, 6 the same of parts of the very kind, or of any kind
+#: where none is stated.
+NUMBER_LEVELS = 7
 
 
 def _level(a: Column, b: Column) -> Column:
@@ -135,33 +163,30 @@ def _level(a: Column, b: Column) -> Column:
 
 
 def _swapped(a: Column, b: Column) -> Column:
-    """Whether the two numbers have the same characters in another order."""
-    return F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
-
-
-def candidate_pairs(store: DataFrame, supplier: DataFrame) -> DataFrame:
-    """(store_item_id, supplier_item_id, project_id, number, kind, pattern): each candidate pair once; ``pattern`` holds
-    the level of each attribute as a digit, the number's first."""
-    names = ["id", "number", "refs", *ATTRIBUTES]
-    left = store.select(F.struct(*names).alias("a"), "project_id", F.explode("blocks").alias("block"))
-    right = supplier.select(F.struct(*names).alias("b"), F.col("project_id").alias("project_b"), F.explode("blocks").alias("block"))
-    met = left.join(right, "block").filter("project_id = project_b")
+    """Whether the two numbers have the same characters in nearly the same order, as keying errors leave them."""
+    return (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))) & (F.levenshtein(a, b) <= SWAPPED_EDITS)
+
+
+def candidate_pairs(store: DataFrame, supplier: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
+    """(store_item_id, supplier_item_id, pattern): each candidate pair once; ``pattern`` holds the level of each
+    attribute as a digit, the number's first.  A pair counts only where it meets in the first block it shares, so it
+    comes once without another shuffle; a block that very many rows share is cut into cells."""
+    names = ["id", "number", "numbers", "refs", "blocks", *ATTRIBUTES]
+    left = store.select(F.struct(*names, "shared", "shared_kinds").alias("a"), F.col("id").alias("a_id"), "project_id", F.explode("blocks").alias("block"))
+    right = supplier.select(F.struct(*names).alias("b"), F.col("id").alias("b_id"), F.col("project_id").alias("project_b"), F.explode("blocks").alias("block"))
+    met = split_join(left, right, ["block"], "a_id", "b_id", hot_least).filter("project_id = project_b")
+    met = met.filter(F.get(F.array_intersect("a.blocks", "b.blocks"), F.lit(0)) == F.col("block"))
+    kind = F.coalesce("a.kind", "b.kind")
+    equal = F.when(F.col("a.shared").isNull(), 1).when(kind.isNotNull() & ~F.array_contains("a.shared_kinds", kind), 5).otherwise(6)
     number = (
-        F.when(F.col("a.number") == F.col("b.number"), 1)
-        .when(F.array_contains("b.refs", F.col("a.number")) | F.array_contains("a.refs", F.col("b.number")) | F.arrays_overlap("a.refs", "b.refs"), 2)
+        F.when(F.arrays_overlap("a.numbers", "b.numbers"), equal)
+        .when(F.arrays_overlap("b.refs", "a.numbers") | F.arrays_overlap("a.refs", "b.numbers") | F.arrays_overlap("a.refs", "b.refs"), 2)
         .when(_swapped(F.col("a.number"), F.col("b.number")), 3)
         .when(F.col("a.number").isNull() | F.col("b.number").isNull(), 0)
         .otherwise(4)
     )
     levels = [F.coalesce(number, F.lit(0)), *[_level(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in ATTRIBUTES]]
-    return met.select(
-        F.col("a.id").alias("store_item_id"),
-        F.col("b.id").alias("supplier_item_id"),
-        "project_id",
-        F.col("a.number").alias("number"),
-        F.coalesce("a.kind", "b.kind").alias("kind"),
-        F.concat(*[x.cast("string") for x in levels]).alias("pattern"),
-    ).dropDuplicates(["store_item_id", "supplier_item_id"])
+    return met.select(F.col("a_id").alias("store_item_id"), F.col("b_id").alias("supplier_item_id"), F.concat(*[x.cast("string") for x in levels]).alias("pattern"))
 
 
 def fit(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
@@ -176,8 +201,8 @@ def fit(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     n = np.array([patterns[p] for p in names], dtype=float)
     levels = np.array([[int(c) for c in p] for p in names])
     width = [NUMBER_LEVELS, *[3] * len(ATTRIBUTES)]
-    m = [np.array([1, 0.6, 0.1, 0.1, 0.2]), *[np.array([1, 0.95, 0.05])] * len(ATTRIBUTES)]
-    u = [np.array([1, 0.3, 0.05, 0.05, 0.6]), *[np.array([1, 0.3, 0.7])] * len(ATTRIBUTES)]
+    m = [np.array([1, 0.55, 0.1, 0.1, 0.1, 0.1, 0.05]), *[np.array([1, 0.95, 0.05])] * len(ATTRIBUTES)]
+    u = [np.array([1, 0.1, 0.05, 0.05, 0.5, 0.1, 0.2]), *[np.array([1, 0.3, 0.7])] * len(ATTRIBUTES)]
     share = 0.5
     for _ in range(rounds):
         odds = np.log(share / (1 - share)) + sum(np.log(m[k][levels[:, k]] / u[k][levels[:, k]]) for k in range(len(width)))
@@ -190,41 +215,25 @@ def fit(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     return dict(zip(names, post.tolist()))
 
 
-def link(stores: DataFrame, suppliers: DataFrame, mappings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def link(stores: DataFrame, suppliers: DataFrame, mappings: DataFrame, threshold: float = THRESHOLD, checked: bool = True) -> DataFrame:
     """(store_item_id, supplier_item_id, confidence): the pairs of one project that are the same part.
 
-    Nulls are silence; an empty table gives no pairs; a row delivered twice counts once; other columns are ignored.
-    Only the counts of the patterns come to the driver: at most 5 * 3^6 of them, whatever the data."""
+    With ``checked`` pairs in which the rows contradict one another are left out; without, and with a threshold of 0, it
+    is the whole scored candidate set.  Nulls are silence; an empty table gives no pairs; a row delivered twice counts
+    once; other columns are ignored.  Only the counts of the patterns come to the driver: at most 7 * 3^6 of them,
+    whatever the data."""
     ws = Workspace(stores.sparkSession, "linkage")
     makers = read_makers(mappings)
-    a = ws.save(with_learned_makers(ws.save(read_rows(stores, makers, supplier=False), "store").dropDuplicates(["id"])), "store_known")
-    b = ws.save(with_learned_makers(ws.save(read_rows(suppliers, makers, supplier=True), "supplier").dropDuplicates(["id"])), "supplier_known")
-    pairs = ws.save(candidate_pairs(with_blocks(a), with_blocks(b)), "pairs")
+    noise = learned_noise(stores.select("description").unionByName(suppliers.select("description")), makers.names)
+    a = ws.save(with_learned_makers(ws.save(read_rows(stores, makers, False, noise), "store").dropDuplicates(["id"])), "store_known")
+    b = ws.save(with_learned_makers(ws.save(read_rows(suppliers, makers, True, noise), "supplier").dropDuplicates(["id"])), "supplier_known")
+    borne = ["project_id", "number", "maker", "kind"]
+    a = ws.save(with_blocks(with_bearers(a, a.select(borne).unionByName(b.select(borne)))), "store_blocks")
+    pairs = ws.save(candidate_pairs(a, with_blocks(b)), "pairs")
     counts = {r["pattern"]: r["n"] for r in pairs.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posteriors = fit(counts)
     table = pairs.sparkSession.createDataFrame([(p, float(c)) for p, c in posteriors.items()], "pattern string, confidence double")
     scored = pairs.join(F.broadcast(table), "pattern").filter(F.col("confidence") >= threshold)
-    scored = scored.filter(~F.substring("pattern", 2, len(ATTRIBUTES)).contains("2"))
-    agree = lambda x: F.substring("pattern", 2 + ATTRIBUTES.index(x), 1) == "1"
-    by_number = F.substring("pattern", 1, 1).isin("1", "2")
-    placed = agree("position") | ~F.col("kind").isin([_KIND_CODES[k] for k, spec in KINDS.items() if spec.positioned])
-    exact_spec = agree("kind") & agree("build") & placed & agree("first") & agree("second")
-    sure = agree("maker") & (by_number | exact_spec)
-    bearers = a.select("project_id", "number", "maker", "kind").unionByName(b.select("project_id", "number", "maker", "kind")).filter("number is not null")
-    shared = (
-        bearers.groupBy("project_id", "number")
-        .agg(F.min("maker").alias("m1"), F.max("maker").alias("m2"), F.min("kind").alias("k1"), F.max("kind").alias("k2"))
-        .filter("m1 <> m2 or k1 <> k2")
-        .select("project_id", "number", F.lit(True).alias("shared"))
-    )
-    of_kind = (
-        bearers.filter("kind is not null")
-        .groupBy("project_id", "number", "kind")
-        .agg(F.min("maker").alias("m1"), F.max("maker").alias("m2"))
-        .filter("m1 <> m2")
-        .select("project_id", "number", "kind", F.lit(True).alias("shared_kind"))
-    )
-    unsure = scored.filter(~sure & by_number).join(shared, ["project_id", "number"], "left").join(of_kind, ["project_id", "number", "kind"], "left")
-    enough = F.col("shared").isNull() | (agree("kind") & F.col("shared_kind").isNull()) | exact_spec
-    kept = scored.filter(sure).unionByName(unsure.filter(enough).select(*scored.columns))
-    return kept.select("store_item_id", "supplier_item_id", F.round("confidence", 6).alias("confidence"))
+    if checked:
+        scored = scored.filter(~F.substring("pattern", 2, len(ATTRIBUTES)).contains("2"))
+    return scored.select("store_item_id", "supplier_item_id", F.round("confidence", 6).alias("confidence"))

@@ -6,9 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-#: The mapping table is a fixed list of some dozens of rows.  It is read on the driver; more rows than this raise.
-MOST_MAPPINGS = 20_000
-
 
 @dataclass(frozen=True)
 class Makers:
@@ -20,10 +17,9 @@ class Makers:
 
 
 def read_makers(mappings: DataFrame) -> Makers:
-    """Makers from line_code_mappings.  A code that is mapped to two makers says nothing and is left out."""
-    rows = mappings.select("client_line_code", "manufacturer_name", "arnold_line_code").limit(MOST_MAPPINGS + 1).collect()
-    if len(rows) > MOST_MAPPINGS:
-        raise ValueError(f"line_code_mappings has more than {MOST_MAPPINGS} rows")
+    """Makers from line_code_mappings, a fixed list (69 rows) that does not grow with the catalogues.  A code that is
+    mapped to two makers says nothing and is left out."""
+    rows = mappings.select("client_line_code", "manufacturer_name", "arnold_line_code").distinct().collect()
     store: dict[str, set[str]] = {}
     supplier: dict[str, set[str]] = {}
     names = set()
