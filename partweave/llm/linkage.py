@@ -185,7 +185,9 @@ def candidate_pairs(store: DataFrame, supplier: DataFrame, hot_least: int = HOT_
         .when(F.col("a.number").isNull() | F.col("b.number").isNull(), 0)
         .otherwise(4)
     )
-    levels = [F.coalesce(number, F.lit(0)), *[_level(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in ATTRIBUTES]]
+    spec = (F.col("a.first") == F.col("b.first")) & (F.col("a.second") == F.col("b.second"))
+    met = met.withColumn("number", F.coalesce(number, F.lit(0))).filter((F.col("number") != 4) | F.coalesce(spec, F.lit(False)))  # else they met only in characters too far out of order
+    levels = [F.col("number"), *[_level(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in ATTRIBUTES]]
     return met.select(F.col("a_id").alias("store_item_id"), F.col("b_id").alias("supplier_item_id"), F.concat(*[x.cast("string") for x in levels]).alias("pattern"))
 
 
