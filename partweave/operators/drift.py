@@ -1,10 +1,11 @@
 """Schemas that drift between the files of a feed (problem 5).
 
-Method: the schema of a file is a tree (a root with its columns; a struct column has children).  The edit script
-between two trees is the cheapest set of additions, removals, renames and moves: the children of two matched nodes
-are paired by a minimum-cost assignment in which a rename costs less the likelier it is that the same cells go on,
-and never more than a removal plus an addition.  Order costs nothing.  The scripts are compiled into projections,
-which give every row of every file the same columns.
+Method: the schema of a file is a tree (a root with its columns; a column of JSON objects has their keys as children).
+The edit script between two trees is the cheapest set of additions, removals, renames and moves: the children of two
+matched nodes are paired by a minimum-cost assignment in which a rename costs less the likelier it is that the same
+cells go on, and never more than a removal plus an addition.  Columns of one name take part too, so that two which
+change places are seen.  What headers are known to mean is only a first guess that the cells may overrule.  Order costs
+nothing.  The scripts are compiled into projections, which give every row of every file the same columns.
 
 A feed may hold any share of the files: the file before is found within months of the feed and across the month's
 edge, and each script is made from the columns of two files alone.
@@ -12,6 +13,7 @@ edge, and each script is made from the columns of two files alone.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,20 +65,33 @@ def _grams(name: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
-def rename_cost(old: Node, new: Node) -> float:
-    """What it costs to call the two nodes one column; 2 or more is never cheaper than a removal and an addition.
+#: What a rename costs, in additions or removals: for names without common trigrams, for cells that are as unlike as can
+#: be, and for headers known to mean different things.  Headers known to mean the same cost nothing for their names.
+BY_NAME, BY_CELLS, BY_MEANING = 1.3, 6.0, 1.0
+#: What keeping a name over other cells costs at most, and how unlike cells must be before it is asked at all.
+KEPT_MOST, KEPT_FREE = 2.5, 0.25
+#: What it costs more to remove or add a column whose name stands on the other side too.
+KEPT_NAME = 1.5
 
-    Known headers are the same column if and only if they mean the same.  Others are judged by their cells first
-    and by their names second."""
-    a, b = ROLE_OF.get(old.name.upper()), ROLE_OF.get(new.name.upper())
-    if a and b:
-        return 0.2 if a == b else 4.0
+
+def unlike(old: Node, new: Node) -> float:
+    """How unlike the cells of two nodes are, 0 to 1; 0 where nothing is known of one."""
+    return sum(abs(p - q) for p, q in zip(old.profile, new.profile)) / max(1, len(old.profile))
+
+
+def rename_cost(old: Node, new: Node) -> float:
+    """What it costs to call the two nodes one column; 2 or more is never cheaper than a removal and an addition.  Judged
+    by their cells first, by what their headers are known to mean and by their names second."""
     if bool(old.children) != bool(new.children):
         return 4.0
+    cells = BY_CELLS * unlike(old, new)
+    if old.name == new.name:
+        return min(cells, KEPT_MOST)
+    a, b = ROLE_OF.get(old.name.upper()), ROLE_OF.get(new.name.upper())
+    if a and a == b:
+        return 0.2 + cells
     x, y = _grams(old.name), _grams(new.name)
-    by_name = 1 - 2 * len(x & y) / (len(x) + len(y))
-    by_cells = sum(abs(p - q) for p, q in zip(old.profile, new.profile)) / max(1, len(old.profile))
-    return 1.3 * by_name + 6.0 * by_cells
+    return BY_NAME * (1 - 2 * len(x & y) / (len(x) + len(y))) + cells + (BY_MEANING if a and b else 0.0)
 
 
 def assign(cost: list[list[float]]) -> list[int]:
@@ -115,7 +130,7 @@ def _distance(old: Node, new: Node, path_old: str, path_new: str) -> tuple[float
     """Cost and edits of turning the children of one node into those of the other; what was removed and added."""
     edits: list[Edit] = []
     same = {c.name: c for c in new.children}
-    pairs = [(c, same[c.name]) for c in old.children if c.name in same]
+    pairs = [(c, d) for c in old.children if (d := same.get(c.name)) is not None and bool(c.children) == bool(d.children) and (c.children or unlike(c, d) < KEPT_FREE)]
     kept = {c.name for c, _ in pairs}
     gone = [c for c in old.children if c.name not in kept]
     come = [c for c in new.children if c.name not in kept]
@@ -123,15 +138,17 @@ def _distance(old: Node, new: Node, path_old: str, path_new: str) -> tuple[float
     n = len(gone) + len(come)
     if n:
         inner = [[_distance(g, c, "", "")[0] + rename_cost(g, c) for c in come] for g in gone]
+        both = {c.name for c in come} & {g.name for g in gone}
+        alone = lambda node: node.size() + (KEPT_NAME if node.name in both else 0.0)
         cost = [
-            [inner[i][j] if i < len(gone) and j < len(come) else gone[i].size() if i < len(gone) else come[j].size() if j < len(come) else 0.0 for j in range(n)]
+            [inner[i][j] if i < len(gone) and j < len(come) else alone(gone[i]) if i < len(gone) else alone(come[j]) if j < len(come) else 0.0 for j in range(n)]
             for i in range(n)
         ]
         picked = assign(cost)
         taken = set()
         for i, g in enumerate(gone):
             j = picked[i]
-            if j < len(come) and inner[i][j] < g.size() + come[j].size():
+            if j < len(come) and inner[i][j] < alone(g) + alone(come[j]):
                 pairs.append((g, come[j]))
                 taken.add(j)
                 total += inner[i][j]
@@ -177,13 +194,52 @@ def _share(test: Column) -> Column:
     return F.sum(F.when(test, 1).otherwise(0))
 
 
+#: What parts the names of a path in a nested cell; in reports it is a dot.
+NESTED = "\x1f"
+
+
+def _leaves(name: str, cell: str | None, out: list[tuple[str, str | None]]) -> None:
+    value = None
+    if cell is not None and cell.lstrip().startswith("{"):
+        try:
+            value = json.loads(cell)
+        except (ValueError, RecursionError):
+            value = None
+    if not isinstance(value, dict):
+        out.append((name, cell))
+        return
+    out.append((name, None))
+    for key, inner in value.items():
+        text = json.dumps(inner, ensure_ascii=False) if isinstance(inner, (dict, list)) else inner if inner is None or isinstance(inner, str) else str(inner).lower()
+        _leaves(f"{name}{NESTED}{key.strip().upper()}", text, out)
+
+
+def _unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        names, cells = [], []
+        for own, values in zip(batch["names"], batch["cells"]):
+            out: list[tuple[str, str | None]] = []
+            for n, c in zip(own, values):
+                _leaves(n, c, out)
+            names.append([n for n, _ in out])
+            cells.append([c for _, c in out])
+        yield batch[["file_id"]].assign(names=names, cells=cells)
+
+
+def unfolded(rows: DataFrame) -> DataFrame:
+    """(file_id, names, cells) with the keys of nested cells as columns of their own; only rows that have such cells go
+    through Python."""
+    nested = F.exists("cells", lambda c: F.coalesce(F.ltrim(c).startswith("{"), F.lit(False)))
+    plain = rows.select("file_id", "names", "cells")
+    return plain.filter(~nested).unionByName(plain.filter(nested).mapInPandas(_unfold, "file_id string, names array<string>, cells array<string>"))
+
+
 def profiles(rows: DataFrame) -> DataFrame:
     """(file_id, name, n, n_integer, ... , look): for each column of each file, over rows without a quoting or
     column_count fault, how many cells are not blank and how many fit each type; ``look`` describes the cells.
     One aggregation, combined before the shuffle."""
     cells = (
-        rows.filter("fault is null and names is not null and file_id is not null")
-        .dropDuplicates(["record"])
+        unfolded(rows.filter("fits and names is not null and file_id is not null").dropDuplicates(["record"]))
         .select("file_id", F.explode(F.arrays_zip("names", "cells")).alias("z"))
         .select("file_id", F.col("z.names").alias("name"), F.trim(F.col("z.cells")).alias("cell"))
     )
@@ -218,7 +274,7 @@ def file_schemas(rows: DataFrame, files: DataFrame) -> DataFrame:
         json_columns(rows).select("file_id", F.explode("columns").alias("key")).select("file_id", F.upper(F.trim("key")).alias("name"))
     )
     seen = profiles(rows).select("file_id", "name", column_type().alias("kind"), "look")
-    full = named.distinct().join(seen, ["file_id", "name"], "left")
+    full = named.unionByName(seen.filter(F.contains("name", F.lit(NESTED))).select("file_id", "name")).distinct().join(seen, ["file_id", "name"], "left")
     return full.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("name", "kind", "look"))).alias("columns"))
 
 
@@ -238,7 +294,15 @@ def file_pairs(files: DataFrame) -> DataFrame:
 
 
 def _tree(columns) -> Node:
-    return Node("", children=[Node(c["name"], c["kind"], tuple(c["look"]) if c["look"] is not None else ()) for c in columns])
+    """The tree of a file's columns; a path of names stands below the column that begins it."""
+    root = Node("")
+    at = {(): root}
+    for c in sorted(columns, key=lambda c: c["name"].count(NESTED)):
+        path = tuple(c["name"].split(NESTED))
+        node = Node(path[-1], c["kind"], tuple(c["look"]) if c["look"] is not None else ())
+        at.get(path[:-1], root).children.append(node)
+        at[path] = node
+    return root
 
 
 _SCRIPT_SCHEMA = "file_id string, before string, change_kind string, old_name string, new_name string"
@@ -283,7 +347,7 @@ def schema_drift(items: DataFrame, files: DataFrame) -> Drift:
 
 def change_report(drift: Drift) -> DataFrame:
     """(file_id, column_name, change_kind): column_name is the later file's, for removed the earlier file's."""
-    return drift.scripts.select("file_id", F.coalesce("new_name", "old_name").alias("column_name"), "change_kind").distinct()
+    return drift.scripts.select("file_id", F.replace(F.coalesce("new_name", "old_name"), F.lit(NESTED), F.lit(".")).alias("column_name"), "change_kind").distinct()
 
 
 def projections(drift: Drift) -> DataFrame:
@@ -321,12 +385,29 @@ def projections(drift: Drift) -> DataFrame:
     return named.filter("role is not null").select("file_id", "name", F.col("role").alias("canonical")).unionByName(firsts)
 
 
+#: Types of the roles in the consistent table; the others are text.
+ROLE_TYPES = {"cost": "decimal(18,4)", "core": "decimal(18,4)", "weight": "decimal(18,4)", "quantity": "bigint", "usage": "bigint", "minimum": "bigint", "last_sale": "date"}
+
+
+def _typed(cell: Column, role: str) -> Column:
+    """A cell as its role's type; null if it is blank or cannot be read."""
+    kind = ROLE_TYPES.get(role)
+    if kind is None:
+        return cell
+    plain = F.nullif(F.trim(cell), F.lit(""))
+    if kind == "date":
+        return plain.try_cast("date")
+    plain = F.regexp_replace(plain, "[$,]", "")
+    return (F.regexp_replace(plain, r"\.0*$", "") if kind == "bigint" else plain).try_cast(kind)
+
+
 def unified_rows(drift: Drift) -> DataFrame:
-    """One consistent table of all readable rows: (record, id, file_id, one text column a role, extra).
+    """One consistent table of all readable rows: (record, id, file_id, one typed column a role, extra, unread).
 
-    ``extra`` maps the canonical names of the columns that have no role to their cells; it is null if there are
+    ``extra`` maps the canonical names of the columns that have no role to their cells; ``unread`` maps roles to cells
+    that are not of the role's type, so that nothing is lost where a file retypes a column.  Either is null if there are
     none.  A cell is null where its file has no such column."""
-    good = drift.rows.filter("fault is null and names is not null and file_id is not null").dropDuplicates(["record"])
+    good = drift.rows.filter("fits and names is not null and file_id is not null").dropDuplicates(["record"])
     maps = projections(drift).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("as"))
     named = good.join(maps, "file_id", "left")
     pairs = F.transform(F.arrays_zip("names", "cells"), lambda z: F.struct(F.coalesce(F.element_at("as", z["names"]), z["names"]).alias("k"), z["cells"].alias("v")))
@@ -334,4 +415,6 @@ def unified_rows(drift: Drift) -> DataFrame:
     of_role = lambda role: F.get(F.filter("pairs", lambda p: p["k"] == role), F.lit(0))["v"]
     rest = F.filter("pairs", lambda p: ~p["k"].isin(list(ROLES)))
     extra = F.to_json(F.map_from_arrays(F.array_distinct(F.transform(rest, lambda p: p["k"])), F.transform(F.array_distinct(F.transform(rest, lambda p: p["k"])), lambda k: F.get(F.filter(rest, lambda p: p["k"] == k), F.lit(0))["v"])))
-    return named.select("record", "id", "file_id", *[of_role(r).alias(r) for r in ROLES], F.when(F.size(rest) > 0, extra).alias("extra"))
+    unlike_type = F.array_compact(F.array(*[F.when((F.trim(of_role(r)) != "") & _typed(of_role(r), r).isNull(), F.struct(F.lit(r).alias("k"), of_role(r).alias("v"))) for r in ROLE_TYPES]))
+    unread = F.when(F.size(unlike_type) > 0, F.to_json(F.map_from_entries(unlike_type)))
+    return named.select("record", "id", "file_id", *[_typed(of_role(r), r).alias(r) for r in ROLES], F.when(F.size(rest) > 0, extra).alias("extra"), unread.alias("unread"))

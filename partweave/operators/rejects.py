@@ -1,8 +1,8 @@
 """Rows that cannot be loaded, each with its reason (problem 2).
 
-Method: strict load plus anti-join.  Every raw row has a mark (its offset).  Only rows that conform in every
+Method: strict load plus anti-join.  Every raw row has a mark that tells its place.  Only rows that conform in every
 respect are loaded, into typed columns; the marks of the loaded rows are subtracted from all marks, and only the
-remainder is diagnosed.
+remainder is diagnosed.  So a row that the reader should lose would still come out, as unread.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partweave.session import Workspace
-from partweave.sources.headers import ROLES
+from partweave.sources.headers import has_role
 from partweave.sources.rawrows import raw_offsets, strict_rows, with_columns_checked
 
 #: Fixed patterns of cells (Java regular expressions over the trimmed cell).
@@ -29,7 +29,7 @@ def _trim(c: Column) -> Column:
 def _cells(role: str) -> Column:
     """The trimmed cells that stand under any header of a role."""
     both = F.arrays_zip(F.col("names").alias("name"), F.col("cells").alias("cell"))
-    return F.transform(F.filter(both, lambda z: z["name"].isin(ROLES[role])), lambda z: F.coalesce(_trim(z["cell"]), F.lit("")))
+    return F.transform(F.filter(both, lambda z: has_role(z["name"], role)), lambda z: F.coalesce(_trim(z["cell"]), F.lit("")))
 
 
 def _bad_number(c: Column) -> Column:
@@ -52,7 +52,7 @@ def _first(role: str) -> Column:
 
 def load_rows(rows: DataFrame) -> DataFrame:
     """The conforming rows, typed: (record, id, file_id, part_number, description, line_code, cost, quantity, usage)."""
-    good = rows.filter(F.col("fault").isNull() & F.col("cells").isNotNull() & ~F.coalesce(_bad_value(), F.lit(False)))
+    good = rows.filter(F.col("fits") & ~F.coalesce(_bad_value(), F.lit(False)))
     whole = lambda role: F.regexp_replace(_first(role), r"\.0*$", "").try_cast("bigint")
     return good.select(
         "record",
@@ -67,6 +67,14 @@ def load_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def diagnose(remainder: DataFrame, rows: DataFrame) -> DataFrame:
+    """(record, id, reason) of raw rows that were not loaded, by what the strict reader made of them: nothing at all
+    (unread), no cells (quoting), cells that are not the file's columns (column_count), else a bad value."""
+    seen = rows.select("record", F.lit(True).alias("seen"), F.col("cells").isNotNull().alias("formed"), "fits")
+    reason = F.when(F.col("seen").isNull(), "unread").when(~F.col("formed"), "quoting").when(~F.col("fits"), "column_count").otherwise("value")
+    return remainder.join(seen, "record", "left").select("record", "id", reason.alias("reason"))
+
+
 def split_rows(items: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(loaded, rejected) of the uploaded rows.
 
@@ -78,6 +86,5 @@ def split_rows(items: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
     rows = ws.save(with_columns_checked(ws.save(strict_rows(items, files), "strict")), "checked")
     loaded = load_rows(rows)
     remainder = raw_offsets(items).select("record", "id").join(loaded.select("record"), "record", "left_anti")
-    reasons = rows.select("record", F.coalesce("fault", F.lit("value")).alias("reason"))
-    rejected = remainder.join(reasons, "record").select(F.col("id").alias("store_item_id"), "reason").distinct()
+    rejected = diagnose(remainder, rows).select(F.col("id").alias("store_item_id"), "reason").distinct()
     return loaded.dropDuplicates(["record"]), rejected

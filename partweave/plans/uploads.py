@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from partweave.operators.drift import change_report, schema_drift, unified_rows
 from partweave.operators.rejects import split_rows
-from partweave.sources.headers import ROLES
+from partweave.sources.headers import PATTERNS, ROLE_OF, ROLES
 from partweave.sources.tables import table
 
 
@@ -29,8 +29,22 @@ def p5_table(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p5_found": p5_found, "p5_table": p5_table}
 
 
-def _names(role: str) -> str:
-    return "[" + ", ".join(f"'{n}'" for n in ROLES[role]) + "]"
+def _list(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+#: DuckDB's regular expressions have no lookahead: of the patterns the words that must not stand there are told apart.
+_SQL_PATTERNS = {
+    "part_number": (PATTERNS["part_number"], "^$"),
+    "cost": (r"\bCOST\b", r"CORE|EXT|TOTAL|DATE|FREIGHT|COST.*CODE"),
+    "quantity": (r"\b(QTY|QUANTITY|ON HAND|ONHAND|QOH|OH|STOCK)\b", r"MIN|MAX|ORDER|PACK|SOLD|DATE|REORD|(QTY|QUANTITY|HAND|QOH|OH|STOCK).*(NUM|NO\b|#|CODE|ID)"),
+    "usage": (r"\bUSAGE\b|\b12 *(MO|MON|MONTH|M)S?\b", "DATE"),
+}
+
+
+def _is(role: str) -> str:
+    yes, no = _SQL_PATTERNS[role]
+    return f"(list_contains({_list(ROLES[role])}, name) OR (NOT list_contains({_list(ROLE_OF)}, name) AND regexp_matches(name, '{yes}') AND NOT regexp_matches(name, '{no}')))"
 
 
 _P2_ROWS = rf"""
@@ -65,11 +79,11 @@ WITH f AS (
   SELECT id, name, coalesce(trim(v, ' ' || chr(160) || chr(9) || chr(10) || chr(13)), '') AS v FROM cell
 ), badv AS (
   SELECT DISTINCT id FROM c WHERE
-    (list_contains({_names("part_number")}, name) AND (NOT regexp_matches(v, '[\p{{L}}\p{{N}}]') OR v LIKE '=%'
+    ({_is("part_number")} AND (NOT regexp_matches(v, '[\p{{L}}\p{{N}}]') OR v LIKE '=%'
         OR regexp_full_match(v, '#(N/A|REF!|VALUE!|DIV/0!|NAME\?|NUM!|NULL!|SPILL!|CALC!|BLOCKED!|UNKNOWN!|FIELD!)')
         OR regexp_full_match(v, '[+-]?([0-9]+(\.[0-9]*)?[eE][+-][0-9]+|[0-9]+\.[0-9]*[eE][0-9]+)')))
-    OR (list_contains({_names("cost")}, name) AND v <> '' AND NOT regexp_full_match(v, '\$?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)(\.[0-9]*)?|\$?\.[0-9]+'))
-    OR ((list_contains({_names("quantity")}, name) OR list_contains({_names("usage")}, name)) AND v <> '' AND NOT regexp_full_match(v, '-?[0-9]+(\.0*)?'))
+    OR ({_is("cost")} AND v <> '' AND NOT regexp_full_match(v, '\$?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)(\.[0-9]*)?|\$?\.[0-9]+'))
+    OR (({_is("quantity")} OR {_is("usage")}) AND v <> '' AND NOT regexp_full_match(v, '-?[0-9]+(\.0*)?'))
 ), structural AS (
   SELECT id, CASE WHEN NOT ok THEN 'quoting' WHEN len(cells) <> len(names) THEN 'column_count' END AS fault FROM flat
   UNION ALL

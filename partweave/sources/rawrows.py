@@ -141,7 +141,8 @@ def json_columns(rows: DataFrame) -> DataFrame:
 
 
 def with_columns_checked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``fault``: "quoting" or "column_count" or null, and ``names`` trimmed and upper-cased.
+    """``rows`` with ``fits``, whether they are well formed and their columns are the file's, and ``names`` trimmed and
+    upper-cased.
 
     Only JSON rows meet the list of their file's columns; a file's list is joined with its rows, and a file that
     holds a large share of them is joined by broadcast."""
@@ -150,12 +151,10 @@ def with_columns_checked(rows: DataFrame) -> DataFrame:
     per_file = json_rows.groupBy("file_id").agg(F.count("*").alias("n"))
     hot = hot_keys(per_file, "n", rows.count(), "file_id")
     known = join_unique(json_rows, columns, "file_id", hot, "left")
-    fault = F.when(F.col("cells").isNull(), "quoting")
-    json_fault = fault.when(F.col("columns").isNull() | (F.sort_array("names") != F.col("columns")), "column_count")
-    flat_fault = fault.when(F.col("header").isNotNull() & F.col("names").isNull(), "column_count")
-    a = known.withColumn("fault", json_fault).drop("columns").withColumn(
+    same = F.coalesce(F.sort_array("names") == F.col("columns"), F.lit(False))
+    a = known.withColumn("fits", F.col("cells").isNotNull() & same).drop("columns").withColumn(
         "names", F.transform("names", lambda n: F.upper(F.trim(n)))
     )
     a = a.withColumn("file_id", F.nullif("file_id", F.lit("")))
-    b = rows.filter("row_format <> 'json'").withColumn("fault", flat_fault)
+    b = rows.filter("row_format <> 'json'").withColumn("fits", F.col("cells").isNotNull() & (F.col("header").isNull() | F.col("names").isNotNull()))
     return a.unionByName(b)

@@ -1,6 +1,6 @@
 import json
 
-from partweave.operators.rejects import split_rows
+from partweave.operators.rejects import diagnose, split_rows
 from partweave.sources.rawrows import split_delimited, split_json
 
 ITEMS = "id string, file_id string, raw_data string, cells string, record string"
@@ -73,3 +73,15 @@ def test_empty_tables(spark):
 def test_very_long_row(spark):
     rejected, loaded = flat(spark, ["A1,1,1,1," + "x" * 200_000])
     assert not rejected and len(loaded["0"].description) == 200_000
+
+
+def test_headers_that_are_not_listed_are_told_by_their_words(spark):
+    lines = ["A-1,1.50,3,4", "---,1,3,4", "A1,CALL,3,4", "A1,1,2.5,4", "A1,1,3,n/a"]
+    assert flat(spark, lines, header="P/N,STORE COST,STOCK,12 MO SALES")[0] == {(str(i), "value") for i in range(1, 5)}
+    assert flat(spark, ["A,x,x,x,x,x"], header="PART NO,CORE COST,MIN STOCK,STOCK NUMBER CODE,COST CODE,LAST QTY DATE")[0] == set()
+
+
+def test_a_row_that_the_reader_loses_comes_out(spark):
+    remainder = spark.createDataFrame([("r1", "1"), ("r2", "2"), ("r3", "3")], "record string, id string")
+    seen = spark.createDataFrame([("r1", None, False), ("r3", ["x"], True)], "record string, cells array<string>, fits boolean")
+    assert {(r.id, r.reason) for r in diagnose(remainder, seen).collect()} == {("1", "quoting"), ("2", "unread"), ("3", "value")}
