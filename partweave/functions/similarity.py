@@ -163,3 +163,58 @@ def unit_mismatch(a: Column, b: Column) -> Column:
     ratio = F.greatest(a, b) / F.least(a, b)
     near = [F.when(F.abs(ratio / expected - 1) < UNIT_WITHIN, name) for expected, name in UNIT_RATIOS]
     return F.when((a > 0) & (b > 0), F.coalesce(*near, F.when(ratio > UNIT_BEYOND, UNIT_UNKNOWN)))
+
+
+def long_word_list(c: Column) -> Column:
+    """The blank-parted words of more than three characters, lower case, in order, repeats kept."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
+
+
+def ranked_score(number: Column, mfr: Column, same_line: Column, left_text: Column, right_text: Column) -> Column:
+    """Number score, .4 of the score of the maker's numbers, .25 for one line code, and .05 for each word of the right
+    text that the left has too, if there are two and .2 at most."""
+    words = F.array_distinct(long_word_list(left_text))
+    shared = F.coalesce(F.size(F.filter(long_word_list(right_text), lambda w: F.array_contains(words, w))), F.lit(0))
+    bonus = F.when(shared >= 2, F.least(F.lit(0.2), shared * 0.05)).otherwise(0.0)
+    return number + 0.4 * mfr + F.when(F.coalesce(same_line, F.lit(False)), 0.25).otherwise(0.0) + bonus
+
+
+#: What makes a row worth a search by model.
+SUITABLE_PARTS = "(?i)filter|belt|pump|sensor|brake|clutch|bearing|gasket|seal|hose|valve|rotor|caliper|pad|disc|drum"
+GENERIC_PARTS = "(?i)^(nut|bolt|screw|washer|clip)$"
+
+
+def suitability(line: Column, text: Column, number: Column) -> Column:
+    """30 for a line code, 20 for a long description, 15 for four digits in the number, 25 for a word of SUITABLE_PARTS, 50
+    less for a description that is but a generic word."""
+    points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
+    return points(line != "", 30) + points(F.length(text) > 20, 20) + points(number.rlike("[0-9]{4,}"), 15) + points(text.rlike(SUITABLE_PARTS), 25) - points(text.rlike(GENERIC_PARTS), 50)
+
+
+#: Subcategories that rule one another out, by words in them.
+INCOMPATIBLE = [("clip", "cable"), ("battery", "belt"), ("hose", "wiring"), ("axle", "brake")]
+
+
+def incompatible(a: Column, b: Column) -> Column:
+    """Whether two subcategories rule one another out."""
+    has = lambda c, word: F.coalesce(F.contains(F.lower(c), F.lit(word)), F.lit(False))
+    out = F.lit(False)
+    for x, y in INCOMPATIBLE:
+        out = out | (has(a, x) & has(b, y)) | (has(a, y) & has(b, x))
+    return out
+
+
+def composite_score(part: Column, text: Column, mfr: Column, cost_a: Column, cost_b: Column, same_but_punctuation: Column) -> Column:
+    """.4 part, .3 text, .2 maker's number, .1 of how near the cost ratio is to 1 (within a half and two), .1 more for
+    numbers that differ in punctuation only; 1 at most."""
+    ratio = cost_a.cast("double") / F.nullif(cost_b.cast("double"), F.lit(0.0))
+    near = F.when((cost_a != 0) & ratio.between(0.5, 2.0), 1 - F.abs(1 - ratio)).otherwise(0.0)
+    return F.least(F.lit(1.0), 0.4 * part + 0.3 * text + 0.2 * F.coalesce(mfr, F.lit(0.0)) + 0.1 * F.greatest(F.lit(0.0), near) + F.when(same_but_punctuation, 0.1).otherwise(0.0))
+
+
+def cost_validated(confidence: Column, a: Column, b: Column) -> Column:
+    """A confidence halved where one cost is over five times the other, and .05 more, 1 at most, where they are within a
+    twentieth; as it is where a cost is missing or not positive."""
+    a, b = a.cast("double"), b.cast("double")
+    ratio = F.when((a > 0) & (b > 0), F.greatest(a, b) / F.least(a, b))
+    return F.when(ratio > 5, confidence * 0.5).when(ratio < 1.05, F.least(F.lit(1.0), confidence + 0.05)).otherwise(confidence)

@@ -137,10 +137,15 @@ def fill(template: str, **parts: Column) -> Column:
     return F.concat(*[parts[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces)])
 
 
+def characters(c: Column) -> Column:
+    """The distinct characters of a text, in order; none of an empty one."""
+    return F.array_distinct(F.filter(F.split(c, ""), lambda ch: ch != ""))
+
+
 def change_kind(a: Column, b: Column) -> Column:
     """A key of CHANGE_TEXTS: what happens to the set of characters between two spellings; where the sets are equal,
     what happens to case or to the ends."""
-    x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
+    x, y = characters(a), characters(b)
     gone, come = F.size(F.array_except(x, y)), F.size(F.array_except(y, x))
     same_sets = F.when((F.upper(a) == F.upper(b)) & (a != b), "case").when(b.startswith(a), "suffix").when(b.endswith(a), "prefix").otherwise("other")
     mixed = F.when((gone == 1) & (come == 1), "replaced").otherwise(same_sets)
@@ -149,7 +154,7 @@ def change_kind(a: Column, b: Column) -> Column:
 
 def character_change(a: Column, b: Column) -> Column:
     """What distinguishes two spellings, in words."""
-    x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
+    x, y = characters(a), characters(b)
     parts = {
         "gone": F.array_join(F.array_except(x, y), ", "), "come": F.array_join(F.array_except(y, x), ", "), "a": a, "b": b,
         "tail": F.substring(b, F.length(a) + 1, F.lit(1 << 20)), "head": F.substring(b, F.lit(1), F.length(b) - F.length(a)),
@@ -185,3 +190,133 @@ def digit_core(c: Column, least: int = 6) -> Column:
     runs = F.filter(F.split(c, "[^0-9]+"), lambda r: F.length(r) >= least)
     longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
     return F.get(F.filter(runs, lambda r: F.length(r) == longest), F.lit(0))
+
+
+def canonical_form(c: Column, prefix: str | None = None, keep_case: bool = False) -> Column:
+    """norm_canonical with a prefix taken off first, if it is there, or with the case kept."""
+    s = F.trim(c) if keep_case else F.upper(F.trim(c))
+    if prefix:
+        s = F.when(s.startswith(prefix), F.substring(s, len(prefix) + 1, 1 << 20)).otherwise(s)
+    return F.regexp_replace(s, r"[-/.\s]", "")
+
+
+#: Prefixes of the catalogue's own numbering, tried in this order.
+CATALOGUE_PREFIXES = ["XBO", "RDS", "LUB", "AXL", "AUV", "RDSNC", "RDSNCV"]
+
+
+def norm_catalogue(c: Column) -> Column:
+    """Upper case without the first prefix of CATALOGUE_PREFIXES that fits, then without blanks and dashes."""
+    return F.regexp_replace(F.regexp_replace(F.upper(F.trim(c)), f"^({'|'.join(CATALOGUE_PREFIXES)})", ""), r"[\s-]", "")
+
+
+def line_code_fixed(c: Column) -> Column:
+    """Struct (line_code, mfr_part): the first three characters and the rest, of numbers of four characters or more."""
+    s = F.trim(c)
+    long = F.length(s) >= 4
+    return F.struct(F.when(long, F.upper(F.substring(s, 1, 3))).alias("line_code"), F.when(long, F.substring(s, 4, 1 << 20)).alias("mfr_part"))
+
+
+def line_code_wide(c: Column) -> Column:
+    """Struct (line_code, mfr_part): two to four leading letters, an optional dash or blank, and a remainder."""
+    s, pattern = F.upper(F.trim(c)), r"^([A-Z]{2,4})[-\s]?(.+)$"
+    found = s.rlike(pattern)
+    return F.struct(F.when(found, F.regexp_extract(s, pattern, 1)).alias("line_code"), F.when(found, F.regexp_extract(s, pattern, 2)).otherwise(s).alias("mfr_part"))
+
+
+#: Short forms of brands.
+BRANDS = {
+    "GAT": "GATES", "GATE": "GATES", "ACD": "ACDELCO", "AC": "ACDELCO", "ACDEL": "ACDELCO", "WAG": "WAGNER", "MC": "MOTORCRAFT", "MTCR": "MOTORCRAFT",
+    "CHA": "CHAMPION", "CHAMP": "CHAMPION", "STD": "STANDARD", "SMP": "STANDARD", "BWD": "BWDAUTO",
+}
+#: Further short forms, of the wider list, which lacks BWD.
+MORE_BRANDS = {
+    "DOR": "DORMAN", "DORM": "DORMAN", "MG": "MOOG", "RAY": "RAYBESTOS", "RB": "RAYBESTOS", "TIM": "TIMKEN", "TMK": "TIMKEN", "FM": "FEDERAL MOGUL", "FED": "FEDERAL MOGUL",
+    "BA": "BECK ARNLEY", "BECK": "BECK ARNLEY", "CONT": "CONTINENTAL", "CTI": "CONTINENTAL", "DAY": "DAYCO", "DUR": "DURALAST", "DL": "DURALAST",
+}
+WIDER_BRANDS = {k: v for k, v in BRANDS.items() if k != "BWD"} | MORE_BRANDS
+
+
+def brand_of(code: Column, known: Column | None = None, names: dict[str, str] = BRANDS) -> Column:
+    """The brand of a line code: what a table says (``known``), else the fixed list, else the code itself; null for none."""
+    listed = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), code)
+    return F.when(code != "", F.coalesce(*([known] if known is not None else []), listed, code))
+
+
+def plain_cell(c: Column) -> Column:
+    """A spreadsheet cell as text; a formula, which must be evaluated elsewhere, and an empty cell are null."""
+    return F.when((c != "") & ~c.startswith("="), c)
+
+
+def left(c: Column, n: int) -> Column:
+    return F.substring(c, 1, n)
+
+
+def mid(c: Column, start: int, n: int) -> Column:
+    """``n`` characters from place ``start``, the first being 1."""
+    return F.substring(c, start, n)
+
+
+def apply_change(number: Column, change: Column) -> Column:
+    """A number changed as a text of CHANGE_TEXTS says, all letters of it taken literally; null if the text names
+    nothing that can be done to another number."""
+    part = lambda pattern, k: F.regexp_extract(change, pattern, k)
+    swap, drop, add = r'^Replace "(.+)" with "(.+)"$', r'^Remove "(.+)"$', r'^Add "(.+)"$'
+    bare = F.aggregate(F.split(part(drop, 1), ", "), number, lambda left, ch: F.replace(left, ch, F.lit("")))
+    return F.coalesce(
+        F.when(change.rlike(swap), F.replace(number, part(swap, 1), part(swap, 2))), F.when(change.rlike(drop), bare), F.when(change.rlike(add), F.concat(number, part(add, 1))),
+        F.when(change == CHANGE_TEXTS["case"], F.upper(number)),
+    )
+
+
+#: What is said of an exact match, by least similarity of the descriptions in percent.
+EXACT_REASONS = [
+    (90, "Excellent match: Normalized part number + {n}% description similarity"),
+    (75, "Very good match: Normalized part number + {n}% description similarity"),
+    (60, "Good match: Normalized part number + {n}% description similarity"),
+    (50, "Fair match: Normalized part number + {n}% description similarity (review recommended)"),
+    (None, "Questionable match: Normalized part number but only {n}% description similarity (manual review required)"),
+]
+EXACT_PERFECT = "Perfect match: Identical part numbers + {n}% description similarity"
+#: What is said of a match by number and line code, and of a fuzzy match.
+LINE_REASONS = [
+    "Perfect match (identical part + line code)",
+    "Normalized part match with line code confirmation",
+    "Complex part number (unique enough to ignore line code)",
+    "Normalized part match (both line codes NULL)",
+    "Normalized part match (one line code NULL)",
+]
+LINE_MISMATCH = "Normalized part match (line code mismatch: {a} vs {b})"
+FUZZY_REASONS = [
+    "High similarity on both part number and description",
+    "Strong part number similarity with description validation",
+    "Good part number similarity with description validation",
+    "Moderate part number similarity with description validation",
+]
+
+
+def exact_reason(same_number: Column, similarity: Column) -> Column:
+    """What is said of an exact match."""
+    n = {"n": F.round(similarity * 100).cast("int").cast("string")}
+    told = [F.when(same_number & (similarity >= 0.9), fill(EXACT_PERFECT, **n))]
+    return F.coalesce(*told, *[fill(t, **n) if least is None else F.when(similarity >= least / 100, fill(t, **n)) for least, t in EXACT_REASONS])
+
+
+def line_reason(same: Column, confirmed: Column, is_complex: Column, a: Column, b: Column) -> Column:
+    """What is said of a match by number and line codes ``a`` and ``b``."""
+    none_a, none_b = F.coalesce(a == "", F.lit(True)), F.coalesce(b == "", F.lit(True))
+    tests = [same, confirmed, is_complex, none_a & none_b, none_a | none_b]
+    return F.coalesce(*[F.when(F.coalesce(t, F.lit(False)), F.lit(r)) for t, r in zip(tests, LINE_REASONS)], fill(LINE_MISMATCH, a=a, b=b))
+
+
+def fuzzy_reason(part: Column, text: Column) -> Column:
+    """What is said of a fuzzy match."""
+    tests = [(part >= 0.9) & (text >= 0.7), part >= 0.8, part >= 0.7, F.lit(True)]
+    return F.coalesce(*[F.when(t, F.lit(r)) for t, r in zip(tests, FUZZY_REASONS)])
+
+
+def reply_json(c: Column) -> Column:
+    """The JSON object in a model's reply: without code fences and what stands before the first and after the last brace;
+    the whole without fences if there is none."""
+    bare = F.trim(F.regexp_replace(c, r"(?m)^```(json)?|```$|^`+|`+$", ""))
+    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found).otherwise(bare)

@@ -5,11 +5,15 @@ chance, the smaller id wins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partweave.functions.similarity import edit_similarity, exact_confidence, fuzzy_confidence, number_similarity, trigram_similarity
+from partweave.functions.similarity import (
+    common_run_similarity, edit_similarity, exact_confidence, fuzzy_confidence, long_word_list, number_similarity, ranked_score, trigram_similarity,
+)
 from partweave.functions.text import long_words, norm_canonical, norm_join, norm_lower, norm_score, norm_stored, number_variants
 from partweave.operators.simjoin import trigram_join
 from partweave.operators.skew import HOT_LEAST, split_join
@@ -210,15 +214,12 @@ def tiered_candidates(stores: DataFrame, suppliers: DataFrame, most: int = 20) -
     return near_best.unionByName(best(described_alike(left, u).withColumn("tier", F.lit(3))))
 
 
-def additive_best(stores: DataFrame, suppliers: DataFrame, most: int = 100, least: float = 10.0, stores_a_block: int = 1000, suppliers_a_part: int = 5000) -> DataFrame:
-    """(store_id, supplier_id, score, rank): the best ``most`` supplier rows of each store row by the additive score.
+def best_of_project(s: DataFrame, u: DataFrame, score: Callable[[Column, Column], Column], most: int, least: float, stores_a_block: int = 1000, suppliers_a_part: int = 5000) -> DataFrame:
+    """(store_id, supplier_id, score, rank): the best ``most`` supplier rows of each store row, of at least ``least``.
 
-    A close cost alone reaches ``least``, so no key that pairs would have to share is complete: every pair of a
-    project is scored.  Store rows in blocks meet supplier rows in parts, and of a part only the best go on."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3))
-    read = lambda side: [F.upper(f"{side}_number").alias("number"), F.upper(f"{side}_line").alias("line"), words(F.col(f"{side}_text")).alias("words"), F.col(f"{side}_cost").cast("double").alias("cost")]
-    s = _store(stores).select("project_id", "store_id", F.struct(*read("store")).alias("a"))
-    u = _supplier(suppliers).select("project_id", "supplier_id", F.struct("supplier_id", *read("supplier")).alias("b"))
+    For scores that no key implies which pairs would have to share: every pair of a project is scored.  ``s`` has
+    project_id, store_id and a struct ``a``, ``u`` has project_id, supplier_id and a struct ``b`` with the supplier_id.
+    Store rows in blocks meet supplier rows in parts, and of a part only the best go on."""
     cuts = lambda rows, size, name: rows.groupBy("project_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     both = cuts(s, stores_a_block, "blocks").join(cuts(u, suppliers_a_part, "parts"), "project_id")
     s, u = s.join(both, "project_id"), u.join(both, "project_id")
@@ -227,9 +228,22 @@ def additive_best(stores: DataFrame, suppliers: DataFrame, most: int = 100, leas
     left = s.select("project_id", "store_id", "a", place("store_id", "blocks").alias("block"), every("parts").alias("part"))
     parts = u.groupBy("project_id", place("supplier_id", "parts").alias("part"), "blocks").agg(F.collect_list("b").alias("rows"))
     right = parts.select("project_id", "part", "rows", every("blocks").alias("block"))
-    a = F.col("a")
+    scored = F.transform("rows", lambda b: F.struct(F.round(-score(F.col("a"), b), 9).alias("lack"), b["supplier_id"].alias("supplier_id")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda p: p["lack"] <= -least)), 1, most)
+    met = left.join(right, ["project_id", "block", "part"]).select("store_id", F.explode(best).alias("p"))
+    order = Window.partitionBy("store_id").orderBy(F.col("score").desc(), F.col("supplier_id"))
+    return met.select("store_id", "p.supplier_id", (-F.col("p.lack")).alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def additive_best(stores: DataFrame, suppliers: DataFrame, most: int = 100, least: float = 10.0, stores_a_block: int = 1000, suppliers_a_part: int = 5000) -> DataFrame:
+    """(store_id, supplier_id, score, rank): the best ``most`` supplier rows of each store row by the additive score, of
+    which a close cost alone reaches ``least``."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3))
+    read = lambda side: [F.upper(f"{side}_number").alias("number"), F.upper(f"{side}_line").alias("line"), words(F.col(f"{side}_text")).alias("words"), F.col(f"{side}_cost").cast("double").alias("cost")]
+    s = _store(stores).select("project_id", "store_id", F.struct(*read("store")).alias("a"))
+    u = _supplier(suppliers).select("project_id", "supplier_id", F.struct("supplier_id", *read("supplier")).alias("b"))
 
-    def score(b: Column) -> Column:
+    def score(a: Column, b: Column) -> Column:
         x, y = a["number"], b["number"]
         told = (F.length(x) > 0) & (F.length(y) > 0)
         number = F.when(F.contains(x, y) | F.contains(y, x), 50).otherwise(0) + 40 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
@@ -239,11 +253,38 @@ def additive_best(stores: DataFrame, suppliers: DataFrame, most: int = 100, leas
         cost = F.when(gap < 5, 20).when(gap < 20, 10).otherwise(0)
         return line + F.when(told, number).otherwise(0.0) + 5 * F.when(shared > 0, shared).otherwise(0) + cost
 
-    scored = F.transform("rows", lambda b: F.struct(F.round(-score(b), 9).alias("lack"), b["supplier_id"].alias("supplier_id")))
-    best = F.slice(F.sort_array(F.filter(scored, lambda p: p["lack"] <= -least)), 1, most)
-    met = left.join(right, ["project_id", "block", "part"]).select("store_id", F.explode(best).alias("p"))
-    order = Window.partitionBy("store_id").orderBy(F.col("score").desc(), F.col("supplier_id"))
-    return met.select("store_id", "p.supplier_id", (-F.col("p.lack")).alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return best_of_project(s, u, score, most, least, stores_a_block, suppliers_a_part)
+
+
+def catalogue_best(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """(store_id, supplier_id, score): each store row's best supplier row of its project.
+
+    Of two numbers: 1 if equal; where both rows have a line code, .95 if what is left without it is equal and long
+    enough, and nothing else counts; else .9 of the length ratio if one holds the other; else .85 of an edit similarity
+    of .75 or more.  Two shared long words add .1 and equal maker's numbers .15, 1 at most."""
+    bare = lambda c: norm_score(F.col(c))
+    words = lambda c: F.filter(F.split(F.upper(c), r"\s+"), lambda w: F.length(w) > 3)
+    core = lambda side: F.when(F.col(f"{side}_line") != "", F.regexp_replace(bare(f"{side}_number"), F.concat(F.lit("^(.*?)"), bare(f"{side}_line")), "$1"))
+    read = lambda side: [bare(f"{side}_number").alias("number"), core(side).alias("core"), words(F.col(f"{side}_text")).alias("words"), bare(f"{side}_mfr").alias("mfr")]
+    s = _store(stores).filter("store_number is not null").select("project_id", "store_id", F.struct(*read("store")).alias("a"))
+    u = _supplier(suppliers).filter("supplier_number is not null").select("project_id", "supplier_id", F.struct("supplier_id", *read("supplier")).alias("b"))
+
+    def score(a: Column, b: Column) -> Column:
+        x, y = a["number"], b["number"]
+        short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+        alike = 1 - F.levenshtein(x, y) / long
+        base = (
+            F.when(x == y, 1.0)
+            .when(a["core"].isNotNull() & b["core"].isNotNull(), F.when((a["core"] == b["core"]) & (F.length(a["core"]) >= 4), 0.95).otherwise(0.0))
+            .when(F.contains(x, y) | F.contains(y, x), short / long * 0.9)
+            .when(short / long < 0.75, 0.0)
+            .otherwise(F.when(alike >= 0.75, alike * 0.85).otherwise(0.0))
+        )
+        shared = F.coalesce(F.size(F.filter(a["words"], lambda w: F.array_contains(b["words"], w))), F.lit(0))
+        told = F.when(shared >= 2, F.least(F.lit(1.0), base + 0.1)).otherwise(base)
+        return F.when(base > 0, F.when((a["mfr"] == b["mfr"]) & (a["mfr"] != ""), F.least(F.lit(1.0), told + 0.15)).otherwise(told)).otherwise(0.0)
+
+    return best_of_project(s, u, score, 1, 1e-9).drop("rank")
 
 
 def variation_matches(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -270,3 +311,38 @@ def number_scores(stores: DataFrame, suppliers: DataFrame) -> DataFrame:
         "store_id", "supplier_id", number_similarity(F.col("store_number"), F.col("supplier_number")).alias("number_score"),
         edit_similarity(F.col("store_number"), F.col("supplier_number")).alias("edit_score"), "text_similarity",
     )
+
+
+def ranked_candidates(stores: DataFrame, suppliers: DataFrame, most: int = 50, fill_to: int = 180, hot_least: int = HOT_LEAST) -> DataFrame:
+    """(store_id, supplier_id, score, rank): the best ``most`` candidates by the ranked score, of several ways to find
+    candidates, each counted once: the same line code, maker's numbers alike (.5), numbers alike (.45), and, where these
+    give fewer than ``fill_to``, two long words in common.
+
+    Numbers that are alike to that degree share three characters in a row or are equal, and a pair with two words in
+    common shares one, so all ways are equi-joins; a pair counts where it meets first."""
+
+    def runs(c: Column, tag: str) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.concat(F.lit(tag), F.substring(c, i, F.lit(3))))
+        return F.coalesce(F.when(F.length(c) > 2, many).when(F.length(c) > 0, F.array(F.concat(F.lit(tag), c))), F.array().cast("array<string>"))
+
+    line = lambda side: F.when(F.col(f"{side}_line") != "", F.concat(F.lit("l"), F.col(f"{side}_line")))
+    keys = lambda side: F.array_distinct(F.array_compact(F.concat(F.array(line(side)), runs(norm_stored(F.col(f"{side}_mfr")), "m"), runs(norm_stored(F.col(f"{side}_number")), "n"))))
+    words = lambda side: F.coalesce(F.array_distinct(long_word_list(F.col(f"{side}_text"))), F.array().cast("array<string>"))
+    ws = Workspace(stores.sparkSession, "ranked")
+    s = ws.save(_store(stores).select("project_id", "store_id", "store_number", "store_mfr", "store_line", "store_text", keys("store").alias("x"), words("store").alias("w")), "store")
+    u = ws.save(_supplier(suppliers).select("project_id", "supplier_id", "supplier_number", "supplier_mfr", "supplier_line", "supplier_text", keys("supplier").alias("y"), words("supplier").alias("v")), "supplier")
+    met = split_join(s.withColumn("key", F.explode("x")), u.withColumn("key", F.explode("y")), ["project_id", "key"], "store_id", "supplier_id", hot_least)
+    met = met.filter(F.get(F.array_intersect("x", "y"), F.lit(0)) == F.col("key"))
+    number = common_run_similarity(norm_stored(F.col("store_number")), norm_stored(F.col("supplier_number")))
+    mfr = common_run_similarity(norm_stored(F.col("store_mfr")), norm_stored(F.col("supplier_mfr")))
+    same = F.coalesce((F.col("store_line") == F.col("supplier_line")) & (F.col("store_line") != ""), F.lit(False))
+    score = F.round(ranked_score(number, mfr, same, F.col("store_text"), F.col("supplier_text")), 9).alias("score")
+    near = ws.save(met.filter(same | (mfr >= 0.5) | (number >= 0.45)).select("store_id", "supplier_id", score), "near")
+    few = near.groupBy("store_id").agg(F.count("*").alias("n")).filter(F.col("n") >= fill_to)
+    left = s.join(few, "store_id", "left_anti")
+    said = split_join(left.withColumn("key", F.explode("w")), u.withColumn("key", F.explode("v")), ["project_id", "key"], "store_id", "supplier_id", hot_least)
+    both = F.array_intersect("w", "v")
+    said = said.filter((F.size(F.filter(long_word_list(F.col("store_text")), lambda x: F.array_contains("v", x))) >= 2) & (F.get(both, F.lit(0)) == F.col("key")))
+    more = said.select("store_id", "supplier_id", score).join(near.select("store_id", "supplier_id"), ["store_id", "supplier_id"], "left_anti")
+    order = Window.partitionBy("store_id").orderBy(F.col("score").desc(), F.col("supplier_id"))
+    return near.unionByName(more).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
