@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partweave.plans import extras, forms, identifiers, matchers, reports, scores, streams, uploads
+from partweave.plans import extras, forms, identifiers, matchers, reports, reviews, scores, streams, uploads
 
-_MODULES = [matchers, identifiers, forms, scores, reports, extras, streams, uploads]
+_MODULES = [matchers, identifiers, forms, scores, reports, reviews, extras, streams, uploads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
