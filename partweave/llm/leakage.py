@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partweave.operators.skew import split_join
 from partweave.session import Workspace, spread
 
 K, W = 5, 2
@@ -160,6 +161,9 @@ def has_passage(doc: np.ndarray, item: np.ndarray, least: int = LEAST_WORDS, per
 #: edits, and a run of r words has a fingerprint in each of its (r - K + 1) // W separate windows: for 18 words in
 #: three runs that is 2 at the worst (5, 5 and 8 words), and more for longer or less edited passages.
 LEAST_HITS = 2
+#: Starts that hits tell are kept as the least and greatest of a stretch of so many words, no more than two starts may lie
+#: apart and still tell of one passage; so a pair keeps no list of all its hits.
+NEAR = LEAST_WORDS // WORDS_PER_EDIT + 2
 
 
 def _windows(starts: list[int], n: int, m: int) -> list[tuple[int, int]]:
@@ -197,30 +201,50 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     ws = Workspace(documents.sparkSession, "leakage")
     bodies = ws.save(without_instructions(items, ws), "bodies")
     item_prints = ws.save(fingerprint_rows(bodies, "item_id", "body").select("item_id", F.col("place").alias("at"), "print"), "item_prints")
-    small = item_prints.count() <= BROADCAST_ROWS
-    side = F.broadcast(item_prints) if small else item_prints
-    hits = fingerprint_rows(documents, id_col, text_col).join(side, "print")
-    pairs = ws.save(
-        hits.groupBy(id_col, "item_id").agg(F.collect_list(F.col("place") - F.col("at")).alias("starts")).filter(F.size("starts") >= LEAST_HITS), "pairs"
-    )
+    prints = fingerprint_rows(documents, id_col, text_col)
+    if item_prints.count() <= BROADCAST_ROWS:
+        hits = prints.join(F.broadcast(item_prints), "print")
+    else:
+        hits = split_join(ws.save(prints, "prints"), item_prints, ["print"], id_col, "item_id")
+    start = F.col("place") - F.col("at")
+    near = hits.groupBy(id_col, "item_id", F.floor(start / NEAR).alias("bucket")).agg(F.min(start).alias("lo"), F.max(start).alias("hi"), F.count("*").alias("n"))
+    starts = F.flatten(F.collect_list(F.when(F.col("n") > 1, F.array("lo", "hi")).otherwise(F.array("lo"))))
+    pairs = ws.save(near.groupBy(id_col, "item_id").agg(starts.alias("starts")).filter(F.size("starts") >= LEAST_HITS).join(bodies, "item_id").select(id_col, "item_id", "starts", "body"), "pairs")
     kind = dict(documents.dtypes)[id_col]
     texts = documents.select(id_col, F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    texts = texts.join(pairs.select(id_col).distinct(), id_col, "left_semi")
-    full = pairs.join(texts, id_col).join(bodies, "item_id").select(id_col, "item_id", "starts", "_text", "body")
+    held = pairs.groupBy(id_col).agg(F.collect_list(F.struct("item_id", "starts", "body")).alias("_items"))
+    stretch = f"`{id_col}` {kind}, item_id string, stretch array<bigint>, item array<bigint>"
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches of each document that may hold a passage, as word hashes; the text itself goes no further."""
         hasher = _Hasher()
-        seen: tuple[str, np.ndarray] = ("", hasher([]))
         for batch in batches:
-            kept = []
-            for i, (starts, text, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                if text != seen[0]:
-                    seen = (text, hasher(words(text)))
-                doc, item = seen[1], hasher(words(body))
-                if any(has_passage(doc[a:b], item) for a, b in _windows(starts, len(doc), len(item))):
-                    kept.append(i)
+            rows, names, stretches, bodies = [], [], [], []
+            for i, (own, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                doc = hasher(words(text)).view(np.int64)
+                for one in own:
+                    item = hasher(words(one["body"])).view(np.int64)
+                    for a, b in _windows(one["starts"], len(doc), len(item)):
+                        rows.append(i)
+                        names.append(one["item_id"])
+                        stretches.append(doc[a:b])
+                        bodies.append(item)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(stretches, longs), pa.array(bodies, longs)], names=[id_col, "item_id", "stretch", "item"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [i for i, (doc, item) in enumerate(zip(_lists(batch.column(2)), _lists(batch.column(3)))) if has_passage(doc, item)]
             chosen = pa.array(kept, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], names=[id_col, "item_id"])
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(parts, id_col, "item_id").mapInArrow(extend, f"`{id_col}` {kind}, item_id string").distinct()
+    cuts = held.join(texts, id_col).select(id_col, "_items", "_text").mapInArrow(cut, stretch)
+    return cuts.repartition(parts, F.xxhash64(id_col, "item_id", "stretch")).mapInArrow(extend, f"`{id_col}` {kind}, item_id string").distinct()
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column as arrays."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    return (values[a:b] for a, b in zip(ends[:-1], ends[1:]))
