@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from partweave.llm.makers import Makers
-from partweave.llm.piispans import CASE_BUCKETS, DIMENSIONS, KINDS, Labelers, cased_words, word_bucket
+from partweave.llm.piispans import CASE_BUCKETS, DIMENSIONS, KINDS, Labelers, cased_words, word_bucket, words_after_articles
 from partweave.session import Workspace, spread
 
 #: Candidates of each kind on which the classifier is fitted: those first in a hash order of their places.
@@ -36,42 +36,50 @@ WEAKEST = 0.4
 _CANDIDATES = "array<struct<kind:int,start:int,stop:int,votes:string,features:array<int>>>"
 
 
-def word_case(documents: DataFrame, text_col: str) -> bytes:
-    """For each bucket of words how often, of 255, the texts write them in lower case, over all texts.  Words in capitals
-    say nothing.  A table of fixed size, added up before the shuffle."""
+def word_case(documents: DataFrame, text_col: str) -> tuple[bytes, bytes]:
+    """For each bucket of words how often, of 255, the texts write them in lower case, and how often their capitalised
+    uses follow an article, over all texts.  Words in capitals say nothing.  Tables of fixed size, added up before the
+    shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[str] = Counter()
+            after: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 seen.update(cased_words(text))
-            lower, title = Counter(), Counter()
+                after.update(words_after_articles(text))
+            lower, title, thing = Counter(), Counter(), Counter()
+            for w, n in after.items():
+                thing[word_bucket(w.lower())] += n
             for w, n in seen.items():
                 if w.islower():
                     lower[word_bucket(w)] += n
                 elif w[0].isupper() and not w.isupper():
                     title[word_bucket(w.lower())] += n
-            buckets = sorted(lower.keys() | title.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets, pa.int32()), pa.array([lower[b] for b in buckets], pa.int64()), pa.array([title[b] for b in buckets], pa.int64())], names=["bucket", "low", "title"]
-            )
-
-    parts = spread(documents.select(text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, "bucket int, low bigint, title bigint")
-    share = F.round(255 * F.sum("low") / (F.sum("low") + F.sum("title"))).cast("int")
-    rows = parts.groupBy("bucket").agg(share.alias("share")).filter("share > 0").toArrow()  # at most CASE_BUCKETS rows
-    table = np.zeros(CASE_BUCKETS, dtype=np.uint8)
-    table[rows.column("bucket").to_numpy()] = rows.column("share").to_numpy().astype(np.uint8)
-    return table.tobytes()
-
-
-def find_candidates(documents: DataFrame, id_col: str, text_col: str, given: list[str], family: list[str], makers: Makers, case: bytes | None = None) -> DataFrame:
+            buckets = sorted(lower.keys() | title.keys() | thing.keys())
+            counts = [pa.array([c[b] for b in buckets], pa.int64()) for c in (lower, title, thing)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *counts], names=["bucket", "low", "title", "thing"])
+
+    parts = spread(documents.select(text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, "bucket int, low bigint, title bigint, thing bigint")
+    of = lambda a, b: F.coalesce(F.least(F.round(F.try_divide(255.0 * F.sum(a), b)), F.lit(255)).cast("int"), F.lit(0))
+    shares = parts.groupBy("bucket").agg(of("low", F.sum("low") + F.sum("title")).alias("low"), of("thing", F.sum("title")).alias("thing"))
+    rows = shares.filter("low > 0 or thing > 0").toArrow()  # at most CASE_BUCKETS rows
+    tables = []
+    for name in ("low", "thing"):
+        table = np.zeros(CASE_BUCKETS, dtype=np.uint8)
+        table[rows.column("bucket").to_numpy()] = rows.column(name).to_numpy().astype(np.uint8)
+        tables.append(table.tobytes())
+    return tables[0], tables[1]
+
+
+def find_candidates(documents: DataFrame, id_col: str, text_col: str, given: list[str], family: list[str], makers: Makers, case: tuple[bytes | None, bytes | None] = (None, None)) -> DataFrame:
     """(id_col, candidates): one row for each text that has any candidate."""
     kind = dict(documents.dtypes)[id_col]
     shape = pa.list_(
         pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
     )
 
-    shared = documents.sparkSession.sparkContext.broadcast((given, family, makers.names, case))
+    shared = documents.sparkSession.sparkContext.broadcast((given, family, makers.names, *case))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labelers = Labelers(*shared.value)

@@ -67,13 +67,16 @@ COMMON = set(
     le la les l un une des du de et ou est sont pour avec sans dans sur à au aux en par que qui
     el los las lo una unos unas y o es son para con sin sobre del al por se que""".split()
 )
+#: Of these the ones that no name holds, however it is written.
+NEVER = set("""the a an and or of for to from in on at by with this that these those is are was were be not if then but der die das den dem des ein eine und oder für von zu zum zur
+    le la les un une des du et ou pour avec el los las una y para con del al""".split())
 #: Words that announce a person, before the name, and words that follow one who is to be reached.
 BEFORE_NAME = set(
     """customer client cliente kunde kundin driver contact kontakt contacto attn attention dear signed sincerely regards thanks yours holder owner passenger patient
     employee name nombre nom recipient hd""".split()
 )
 NAME_BEFORE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(BEFORE_NAME, key=len, reverse=True))}|from:|--)\s*[:,.]?\s*$", re.I)
-NAME_AFTER = re.compile(r"\s*,?\s*(?:call\b|calls\b|called\b|tel\b|tél\b|fax\b|phone\b|mobile\b|cell\b|e-?mail\b|ssn\b|licen[cs]e\b|passport\b|dl\b|id\b|signed\b|said\b|says\b|wrote\b)", re.I)
+NAME_AFTER = re.compile(r"\s*,?\s*(?:call\b|calls\b|called\b|tel\b|tél\b|fax\b|phone\b|mobile\b|cell\b|e-?mail\b|ssn\b|licen[cs]e\b|passport\b|dl\b|id\b)", re.I)
 #: A number, a part or an article beside it tells that a capitalised phrase is a thing.
 THING_AFTER = re.compile(r"\s*(?:\d|[-–]|(?:brand|kit|list|stock|display|notice|pn|p/n)\b)", re.I)
 THING_BEFORE = re.compile(r"(?:\b(?:the|this|that|brand|fits|maker|make|model|der|die|das|le|la|les|el|los|las)|\d)\s*:?\s*$", re.I)
@@ -114,6 +117,7 @@ _DIGITS, _CAPITALS, _LETTERS = re.compile(r"\d"), re.compile(r"[A-ZÀ-Þ]+"), re
 #: Buckets of the table of word case; a power of two, so what is broadcast has a fixed size (a byte each).
 CASE_BUCKETS = 1 << 20
 _CASED = re.compile(r"(?<![\w@.'’-])[^\W\d_]{2,}(?![\w@]|[.'’-]\w)")
+_AFTER_ARTICLE = re.compile(r"(?<!\w)(?:[Tt]he|[Tt]his|[Ff]its|[Dd]er|[Dd]ie|[Dd]as|[Ll]e|[Ll]a|[Ee]l)\s+([A-ZÀ-Þ][^\W\d_]+)(?:[ \u00a0]([A-ZÀ-Þ][^\W\d_]+))?(?!\w)")
 
 
 def word_bucket(word: str) -> int:
@@ -131,15 +135,21 @@ def _shouting(line: str) -> bool:
     return len(words) > 6 and sum(map(str.isupper, words)) > 0.6 * len(words)
 
 
+def words_after_articles(text: str) -> list[str]:
+    """The capitalised words, two at most in a row, that stand right after an article, as the names of things do."""
+    return [w for m in _AFTER_ARTICLE.finditer(text) for w in m.groups() if w]
+
+
 class Labelers:
     """Finds candidates and votes.  given, family: the known names; makers: names of makers, all lower case;
-    case: for each bucket of words how often, of 255, the corpus writes them in lower case (None: nothing known)."""
+    case: for each bucket of words how often, of 255, the corpus writes them in lower case; things: how often, of their
+    capitalised uses, they follow an article (None: nothing known)."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str], makers: Iterable[str], case: bytes | None = None):
+    def __init__(self, given: Iterable[str], family: Iterable[str], makers: Iterable[str], case: bytes | None = None, things: bytes | None = None):
         self.given, self.family = set(given), set(family)
         self.makers = {w for m in makers for w in re.findall(r"[\w]+", m) if len(w) > 3}
         self.full_makers = set(makers)
-        self.case = case
+        self.case, self.things = case, things
         self.codes: dict[tuple, int] = {}
         self.lower: dict[str, bool] = {}
 
@@ -149,7 +159,7 @@ class Labelers:
         if known is None:
             if len(self.lower) > 200_000:
                 self.lower = {}
-            known = self.lower[word] = word in COMMON or (self.case is not None and self.case[word_bucket(word)] >= ORDINARY)
+            known = self.lower[word] = word in COMMON or word in BEFORE_NAME or (self.case is not None and self.case[word_bucket(word)] >= ORDINARY)
         return known
 
     def code(self, *what) -> int:
@@ -236,6 +246,7 @@ class Labelers:
             + ("-" if any(w in self.makers for w in low) else "0")
             + ("-" if THING_AFTER.match(after) and not titled else "0")
             + ("-" if THING_BEFORE.search(before) and not titled and not NAME_BEFORE.search(before) else "0")
+            + ("-" if self.things is not None and any(self.things[word_bucket(w)] >= ORDINARY for w in low if len(w) > 2) else "0")
             + ("-" if in_address else "0")
             + ("-" if continued else "0")
             + ("-" if t[a:b].isupper() and _shouting(t[line[0] : line[1]]) and given not in self.given and family not in self.family else "0")
@@ -328,13 +339,15 @@ class Labelers:
                 continue
             spans: list[tuple[list[re.Match], bool]] = []
             for i in range(len(run)):
-                titled = run[i - 1][0].lower().rstrip(".") in TITLES if i else follows_title
+                titled = run[i - 1][0].lower().rstrip(".") in TITLES and (i == 1 or len(run[i - 1][0]) > 2) if i else follows_title  # "Jo M. Lee" has an initial
                 for n in (1, 2, 3):
                     piece = run[i : i + n]
                     if len(piece) < n or piece[-1][0].endswith(".") or (n == 1 and not titled):
                         continue
                     if n == 3 and not piece[1][0].endswith(".") and not titled:
                         continue
+                    if any(m[0].lower() in NEVER for m in piece):
+                        continue
                     if i == 0 and run[0][0].lower().rstrip(".") in TITLES and len(run) > 1:
                         continue
                     spans.append((piece, titled))
@@ -347,8 +360,8 @@ class Labelers:
                 both = [run[-1], runs[k + 1][0]]
                 second = both[1][0].lower()
                 a, b = both[0].start(), both[1].end()
-                told = NAME_BEFORE.search(t[max(0, a - 40) : a]) or NAME_AFTER.match(t[b : b + 32])
-                if told or second in self.given or both[0][0].lower() in self.family or second.endswith("."):
+                likely = not any(w in self.makers or self.ordinary(w) for w in (both[0][0].lower(), second))
+                if likely or second in self.given or both[0][0].lower() in self.family or second.endswith("."):
                     self._add_name(t, both, False, True, len(run) > 1 and not self.ordinary(run[-2][0].lower()), contacts, streets, line_of, add)
 
     def _add_name(self, t, piece, titled, inverted, continued, contacts, streets, line_of, add) -> None:

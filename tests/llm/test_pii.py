@@ -74,6 +74,17 @@ def test_ordinary_words_are_learned_from_case():
     assert told == {"ask": True, "tonna": False, "the": True}
 
 
+def test_words_of_things_are_learned_from_articles(spark):
+    from partweave.llm.pii import word_case
+    from partweave.llm.piispans import word_bucket, words_after_articles
+
+    assert words_after_articles("Fits the Velmora Kestrel, ask Tonna; das Auto. The end") == ["Velmora", "Kestrel", "Auto"]
+    rows = [("the Velmora Kestrel is here, ask Tonna",)] * 3 + [("Tonna and Velmora",), ("the tonna",), (None,), ("",)]
+    case, things = word_case(spark.createDataFrame(rows, "text string"), "text")
+    assert things[word_bucket("velmora")] > 150 and things[word_bucket("tonna")] == 0
+    assert case[word_bucket("here")] == 255 and 0 < case[word_bucket("tonna")] < 60
+
+
 def test_offsets_are_code_points(labelers):
     text = "👍🏽 é Mail: orla@a.example"
     c = labelers.candidates(text)[0]
