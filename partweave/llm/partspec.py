@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.session import spread
+from partweave.session import Workspace, spread
 
 
 class Spec(NamedTuple):
@@ -483,10 +483,9 @@ def learned_noise(rows: DataFrame, makers: Iterable[str]) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[g] for g in names], pa.int64()), pa.array([kinds.get(g, 0) for g in names], pa.int64())], names=["phrase", "n", "kinds"])
 
     parts = spread(rows.select("description").filter("description is not null")).mapInArrow(run, "phrase string, n bigint, kinds bigint")
-    counts = parts.groupBy("phrase").agg(F.sum("n").alias("n"), F.bit_or("kinds").alias("kinds"))
-    total = F.max(F.when(F.col("phrase") == "", F.col("n")))
-    least = counts.agg(F.greatest(F.lit(3.0), total * NOISE_LEAST).alias("least"))
-    kept = counts.crossJoin(F.broadcast(least)).filter((F.col("phrase") != "") & (F.col("n") >= F.col("least")) & (F.bit_count("kinds") >= NOISE_KINDS))
+    counts = Workspace(rows.sparkSession, "noise").save(parts.groupBy("phrase").agg(F.sum("n").alias("n"), F.bit_or("kinds").alias("kinds")), "counts")
+    total = counts.filter("phrase = ''").agg(F.sum("n").alias("n")).first()["n"] or 0
+    kept = counts.filter((F.col("phrase") != "") & (F.col("n") >= max(3.0, total * NOISE_LEAST)) & (F.bit_count("kinds") >= NOISE_KINDS))
     found = {r["phrase"]: r["n"] for r in kept.select("phrase", "n").collect()}  # at most NOISE_WORDS / NOISE_LEAST times the words of a description
     return sorted(g for g, n in found.items() if all(w in found and n >= NOISE_COHESION * found[w] for w in [min(g.split(" "), key=lambda w: found.get(w, 0))]))
 
