@@ -50,3 +50,18 @@ def test_keyword_hits_move_pieces_not_places(spark, tmp_path):
     moved = rows_shuffled(spark, lambda: got.extend(catalog.queries()["keyword_hits"](spark, at).collect()))
     assert len(got) == 100 and {r.hits for r in got} == {1}
     assert moved < 60_000, moved  # every place of every text met the words before
+
+
+def test_variant_lookup_meets_the_first_holders_of_a_word_only(spark, tmp_path):
+    stores = [(f"s{i:04d}", "p", f"{i:04d}" * 2, None, "brake pad" if i % 2 else "disc ring brake", None, None, None) for i in range(300)]
+    texts = ["brake disc", "brakes", "a pad for it", "ring gear"]
+    suppliers = [(f"u{i:04d}", "p", "AB CD EF GH", None, texts[i * 7 // 5 % 4], None, None, None) for i in range(1000)]
+    at = folder(spark, tmp_path, stores, suppliers)
+    got = []
+    moved = rows_shuffled(spark, lambda: got.extend(catalog.queries()["variant_lookup"](spark, at).collect()))
+    want = set()
+    for s in stores:
+        held = sorted(u[0] for u in suppliers if any(w in u[4] for w in s[4].split()))
+        want |= {(s[0], u, 3, rank) for rank, u in enumerate(held[:50], 1)}
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert moved < 120_000, moved  # every store row met all holders of each of its words before
