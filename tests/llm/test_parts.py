@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from partweave.llm import listings
 from partweave.llm.linkage import candidate_pairs, fit, link, number_key, number_keys, read_rows, with_bearers, with_blocks
 from partweave.llm.listings import find_gtins, product_groups, same_products, valid_gtin
 from partweave.llm.makers import Makers
@@ -108,6 +109,14 @@ def test_pairs_of_listings(spark):
     assert same_products(*frames(spark, [], [])).count() == 0
 
 
+def test_pairs_follow_the_groups(spark, monkeypatch):
+    """The groups alone decide which stated listings are pairs."""
+    rows = [("a", "p", "x", "g1"), ("b", "p", "x", "g1"), ("c", "p", "x", "g2"), ("d", "p", "y", "g1"), ("e", "p", None, "g1")]
+    found = spark.createDataFrame(rows, "listing_id string, project_id string, spec string, group string")
+    monkeypatch.setattr(listings, "grouped_listings", lambda *_: found)
+    assert {tuple(r) for r in same_products(found, found, found).collect()} == {("a", "b"), ("a", "d"), ("b", "d")}
+
+
 def test_groups_of_listings(spark):
     stores = [("s1", "p", "HLR 3546F8404", "HLR", "water pump"), ("s2", "p", "X", None, None), ("s3", "p", "77", None, FULL.replace("Corvane", "Hexmarch"))]
     suppliers = [("u1", "p", "3546F-8404", "FNQ", SAME), ("u2", "p", "9", "FNQ", FULL), ("u3", "p", "3546F8404", "FNQ", FULL.replace("88", "90"))]
