@@ -65,3 +65,15 @@ def test_variant_lookup_meets_the_first_holders_of_a_word_only(spark, tmp_path):
         want |= {(s[0], u, 3, rank) for rank, u in enumerate(held[:50], 1)}
     assert sorted(map(tuple, got)) == sorted(want)
     assert moved < 120_000, moved  # every store row met all holders of each of its words before
+
+
+def test_weighted_scores_shuffle_rows_not_pairs(spark, tmp_path):
+    kinds = f"{ITEM}, category string, subcategory string"
+    for side, first in (("store", "s"), ("supplier", "u")):
+        rows = [(f"{first}{i}", "p", f"ABC{i}", None, "brake pad", None, None, None, "Brakes" if i % 2 else None, "pads") for i in range(200)]
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{side}_items.parquet")
+    got = []
+    moved = rows_shuffled(spark, lambda: got.extend(catalog.queries()["weighted_scores"](spark, str(tmp_path)).collect()))
+    assert len(got) == len({(r.store_id, r.supplier_id) for r in got}) == 200 * 200
+    assert {round(r.score, 6) for r in got if r.store_id == "s7" and r.supplier_id in ("u7", "u8")} == {1.0, round(0.75 * 0.5 + 0.3 + 0.05 + 0.1, 6)}
+    assert moved < 20_000, moved  # every pair was shuffled twice before
