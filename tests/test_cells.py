@@ -1,10 +1,14 @@
 """Pairs found and scored in cells, against the plain rule, and what finding them moves."""
 
+import random
 import re
 
+import pyarrow.parquet as pq
+
 from partweave.operators import cells
-from partweave.operators.matching import common_run_scores
+from partweave.operators.matching import common_run_scores, ranked_candidates
 from partweave.plans import catalog
+from parity import assert_same
 from test_held import ITEM, folder, rows_shuffled
 
 NUMBERS = [None, "", "A", "AB", "0", "00A", "00ab", "abc", "ABCABC", "AAAAAA", "AAAA-AAAA", "x12-345", "12345Y", "ßABC", "SSABC", "ABC-DEF 1", "BCDEF", "1", "12", "é12", "Q" * 300 + "ABCD", "Q" * 299 + "ABCD", "ZZZ9", "  -"]
@@ -68,3 +72,44 @@ def test_common_runs_move_rows_not_runs(spark, tmp_path):
     moved = rows_shuffled(spark, lambda: got.extend(catalog.queries()["common_runs"](spark, at).collect()))
     assert len(got) == len({(r.store_id, r.supplier_id) for r in got}) == 300 * 300
     assert moved < 3_000, moved  # a row was shuffled once for each of its runs before
+
+
+TEXTS = [None, "", "brake pad", "brake disc front", "front disc brake brake", "Brake  BRAKE ring", "front axle disc brake ring gear", "ring gear ring gear", "hose", "front front", "axle gear brake hose disc"]
+
+
+def write_odd(tmp_path):
+    """Tables of numbers, line codes and words of all kinds, many of them in common."""
+    pick = random.Random(4)
+    plain = [n for n in NUMBERS if n is None or n.isascii()]
+    for name, side, count in (("store_items", "s", 60), ("supplier_items", "u", 90)):
+        rows = [(f"{side}{i:02d}", pick.choice("ppq"), pick.choice(plain), pick.choice([None, "", "LN", "ln", "XX"]) if i % 3 else None, pick.choice(TEXTS), None, pick.choice(plain), None) for i in range(count)]
+        columns = zip([c.split()[0] for c in ITEM.split(", ")], zip(*rows + rows[:4]))
+        kinds = lambda c: cells.pa.decimal128(10, 2) if c == "current_cost" else cells.pa.string()
+        pq.write_table(cells.pa.table({c: cells.pa.array(v, kinds(c)) for c, v in columns}), f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_ranked_candidates_equal_the_sql_over_odd_rows(spark, tmp_path):
+    assert_same(catalog.queries()["ranked_candidates"], catalog.oracle_sql()["ranked_candidates"], spark, write_odd(tmp_path))  # numbers counted where no run was shared before
+
+
+def test_ranked_candidates_are_the_same_in_cells_of_any_size(spark, tmp_path):
+    at = write_odd(tmp_path)
+    two = [spark.read.parquet(f"{at}/{name}.parquet") for name in ("store_items", "supplier_items")]
+    for most, fill_to in ((50, 180), (3, 2), (12, 10)):
+        one, more = (sorted(map(tuple, ranked_candidates(*two, most, fill_to, *sizes).collect())) for sizes in ((), (7, 6)))
+        assert one == more and len(one) > 60
+
+
+def test_ranked_candidates_move_rows_not_pairs(spark, tmp_path):
+    stores, suppliers = ([(f"{side}{i:03d}", "p", f"ABCDEF{i * 7919:08d}", None, "brake disc front axle", None, f"ABCDEF{i * 104729:09d}", None) for i in range(150)] for side in "su")
+    at = folder(spark, tmp_path, stores, suppliers)
+    got = []
+    moved = rows_shuffled(spark, lambda: got.extend(catalog.queries()["ranked_candidates"](spark, at).collect()))
+    assert sorted((r.store_id, r["rank"]) for r in got) == [(s[0], rank) for s in stores for rank in range(1, 51)]
+    assert moved < 3_000, moved  # each of the pairs was shuffled before
+
+
+def test_scores_are_rounded_halves_up():
+    x = cells.np.array([0.1234567885, 0.1234567875, 1 / 3, 2 / 3, 0.0009765625, 1.65])
+    assert cells.billionths(x).tolist() == [123456789, 123456788, 333333333, 666666667, 976563, 1650000000]
